@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -61,5 +60,7 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def test_dir(sf: str) -> str:
-    return os.path.join("/root/testdata", sf)
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the session has cores, if its scan has fewer: for costly narrow steps over few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
