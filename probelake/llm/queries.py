@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import tokens
+from probelake.llm import mixing, tokens
 from probelake.sources.tables import table
 
 
@@ -12,5 +12,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    weights = table(spark, sf_dir, "source_weights")
+    return mixing.mix(mixing.token_counts(table(spark, sf_dir, "documents"), weights), weights)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report.where("short").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).uses
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
 SQL: dict[str, str] = {}

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from probelake.session import spread
+
 #: Where the vocabulary files lie, unless a call says otherwise.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
@@ -122,7 +124,7 @@ def encode_corpus(
     rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     value = "n_tokens" if count_only else "ids"
     is_long = F.coalesce(F.char_length("__text"), F.lit(0)) > chunk_chars
-    short = _encode(rows.where(~is_long), tokenizer, folder, count_only)
+    short = _encode(spread(rows.where(~is_long)), tokenizer, folder, count_only)
     long = rows.where(is_long).withColumn("__key", F.sha2("__text", 256))
     texts = long.groupBy("__key").agg(F.first("__text").alias("__text"))
     pieces = text_pieces(texts, chunk_chars, overlap).repartition("__key", "at")
