@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import mixing, tokens
+from probelake.llm import mixing, neighbours, tokens
 from probelake.sources.tables import table
 
 
@@ -29,5 +29,15 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).uses
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, sf_dir, "activations")))
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_mix": p7_mix,
+}
 SQL: dict[str, str] = {}
