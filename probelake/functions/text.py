@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ASCII = {i: None for i in range(128) if not chr(i).isalnum()}
 
@@ -21,7 +22,7 @@ def plain(text: str | None) -> str | None:
     return "".join(c for c in folded if c.isalnum())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _plain_form(text: pa.Array) -> pa.Array:
     return pa.array([plain(t) for t in text.to_pylist()], pa.string())
 
