@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import mixing, neighbours, tokens
+from probelake.llm import linking, mixing, neighbours, sampling, tokens
 from probelake.sources.tables import table
 
 
@@ -33,7 +33,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest(table(spark, sf_dir, "activations")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = sampling.statement_sample(table(spark, sf_dir, "statements"), table(spark, sf_dir, "sample_targets")).report
+    return report.where(f"deficit > 0 and level_name <> '{sampling.REST}'").select("target_set", "level_name")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.statement_sample(table(spark, sf_dir, "statements"), table(spark, sf_dir, "sample_targets")).report
+
+
+def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.statement_sample(table(spark, sf_dir, "statements"), table(spark, sf_dir, "sample_targets")).rows
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.shared_groups(linking.statement_groups(table(spark, sf_dir, "statements")))
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.statement_splits(table(spark, sf_dir, "statements"), table(spark, sf_dir, "split_plan"))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_report": p2_report,
+    "p2_sample": p2_sample,
+    "p3_found": p3_found,
+    "p3_splits": p3_splits,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
