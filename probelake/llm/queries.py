@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import linking, mixing, neighbours, sampling, tokens
+from probelake.llm import linking, mixing, neighbours, overlap, sampling, tokens
 from probelake.sources.tables import table
 
 
@@ -54,7 +54,17 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.statement_splits(table(spark, sf_dir, "statements"), table(spark, sf_dir, "split_plan"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_pairs(overlap.statement_overlaps(table(spark, sf_dir, "statements")))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(overlap.statement_overlaps(table(spark, sf_dir, "statements")))
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_report": p4_report,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p2_sample": p2_sample,
