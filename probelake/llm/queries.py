@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import linking, mixing, neighbours, overlap, sampling, tokens
+from probelake.llm import linking, mixing, neighbours, overlap, reading, sampling, tokens
 from probelake.sources.tables import table
 
 
@@ -62,7 +62,17 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(overlap.statement_overlaps(table(spark, sf_dir, "statements")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.commit_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_anchors"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_anchors"))
+
+
 QUERIES = {
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p2_found": p2_found,
