@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelake.functions.text import plain_form
-from probelake.llm.ranks import hash_unit, running_sum
+from probelake.operators.ranks import hash_unit, running_sum
 from probelake.session import is_small, written
 
 #: A group of more than this part of all rows is placed on its own; there are at most 1 / LARGE of them.

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probelake.llm.ranks import hash_unit, running_sum
+from probelake.operators.ranks import hash_unit, running_sum
 from probelake.llm.tokens import TOKENIZERS, encode_corpus
 from probelake.session import written
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelake.functions.text import plain_form
-from probelake.llm.ranks import hash_unit
+from probelake.operators.ranks import hash_unit
 from probelake.session import is_small, written
 
 #: Rows of a range of the numbers, about; and the level that stands for everything else.
