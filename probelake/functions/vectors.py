@@ -23,16 +23,20 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(total(F.transform(_c(v), lambda x: x * x)))
 
 
+def let(value: Column, f) -> Column:
+    """f of the value, which is evaluated once a row: inside a lambda an expression would be evaluated for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def normalised(v: Column | str) -> Column:
     """v of length 1; a vector of zeros stays."""
-    n = norm(v)
-    return F.when(n == 0, _c(v)).otherwise(F.transform(_c(v), lambda x: x / n))
+    return let(norm(v), lambda n: F.when(n == 0, _c(v)).otherwise(F.transform(_c(v), lambda x: x / n)))
 
 
 def shifted(v: Column | str, by: Column | float, along: Column | str) -> Column:
     """v + by * along."""
     by = by if isinstance(by, Column) else F.lit(float(by))
-    return F.zip_with(_c(v), _c(along), lambda x, d: x + by * d)
+    return let(by, lambda b: F.zip_with(_c(v), _c(along), lambda x, d: x + b * d))
 
 
 def sigmoid(x: Column | str) -> Column:
@@ -40,9 +44,8 @@ def sigmoid(x: Column | str) -> Column:
 
 
 def softmax(v: Column | str) -> Column:
-    top = F.array_max(_c(v))
-    e = F.transform(_c(v), lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.array_max(_c(v)), lambda top: F.transform(_c(v), lambda x: F.exp(x - top)))
+    return let(e, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def hellinger(p: Column | str, q: Column | str) -> Column:
@@ -61,7 +64,7 @@ def sparsified(v: Column | str, k: int, absolute: bool = False) -> Column:
     v = _c(v)
     size = (lambda x: F.abs(x)) if absolute else (lambda x: x)
     edge = F.element_at(F.sort_array(F.transform(v, size), asc=False), F.least(F.lit(k), F.size(v)))
-    return F.transform(v, lambda x: F.when(size(x) >= edge, x).otherwise(0.0))
+    return let(edge, lambda e: F.transform(v, lambda x: F.when(size(x) >= e, x).otherwise(0.0)))
 
 
 def selected(v: Column | str, kept: list[int]) -> Column:
@@ -77,23 +80,18 @@ def padded(v: Column | str, length: int) -> Column:
 
 def translated(v: Column | str, direction: Column | str, t: float, absolute: bool = True) -> Column:
     """v moved along the direction's unit vector by t, or, unless absolute, until its projection is t."""
-    d = normalised(direction)
-    step = F.lit(float(t)) if absolute else F.lit(float(t)) - dot(v, d)
-    return shifted(v, step, d)
+    return let(normalised(direction), lambda d: shifted(v, F.lit(float(t)) if absolute else F.lit(float(t)) - dot(v, d), d))
 
 
 def amplified(v: Column | str, direction: Column | str, s: float) -> Column:
     """v moved by s along the unit direction, to the side its projection has."""
-    d = normalised(direction)
-    return shifted(v, F.signum(dot(v, d)) * s, d)
+    return let(normalised(direction), lambda d: shifted(v, F.signum(dot(v, d)) * s, d))
 
 
 def polarized(v: Column | str, direction: Column | str, s: float, positive: bool = True) -> Column:
     """As amplified, but only vectors whose projection is positive (or negative) move."""
-    d = normalised(direction)
-    side = dot(v, d)
-    step = F.when(side > 0 if positive else side < 0, F.signum(side) * s).otherwise(0.0)
-    return shifted(v, step, d)
+    step = lambda side: F.when(side > 0 if positive else side < 0, F.signum(side) * s).otherwise(0.0)
+    return let(normalised(direction), lambda d: shifted(v, step(dot(v, d)), d))
 
 
 def translated_raw(v: Column | str, direction: Column | str, t: float) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probelake.functions.vectors import dot
+from probelake.functions.vectors import dot, let
 from probelake.operators.scaling import as_arrays, gram_matrix, standardised, vector_stats
 
 
@@ -28,9 +28,8 @@ def fit(train: DataFrame, vec: str = "vec", y: str = "y", group: list[str] | Non
     sd = F.when(var > 1e-14 * (1 + mu * mu), F.sqrt(var)).otherwise(1.0)
     s = s.select(*group, "dim", mu.alias("mu"), sd.alias("sd"), ((F.col("m1") - F.col("m0")) / sd).alias("w"), ((F.col("m1") + F.col("m0") - 2 * mu) / sd).alias("c"))
     out = as_arrays(s, group, w=F.col("w"), c=F.col("c"), mu=F.col("mu"), sd=F.col("sd"))
-    length = F.sqrt(dot("w", "w"))
-    unit = F.transform("w", lambda x: x / length)
-    return out.select(*group, unit.alias("direction"), (F.lit(-0.5) * dot(unit, "c")).alias("bias"), "mu", "sd")
+    out = out.withColumn("direction", let(F.sqrt(dot("w", "w")), lambda n: F.transform("w", lambda x: x / n)))
+    return out.select(*group, "direction", (F.lit(-0.5) * dot("direction", "c")).alias("bias"), "mu", "sd")
 
 
 def oas_covariance(gram: np.ndarray, n: int) -> tuple[np.ndarray, float]:
