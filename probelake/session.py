@@ -49,7 +49,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/probelake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -69,3 +69,9 @@ def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as the session has cores, if its scan has fewer: for costly narrow steps over few files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables this application has written to the shared folder; results that still read them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/probelake-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
