@@ -23,7 +23,7 @@ RANGE_ROWS, REST = 500, "*"
 
 @dataclass(frozen=True)
 class Sample:
-    #: target_set, level_name, and the rows' columns.
+    #: target_set, level_name, and the rows' ids.
     rows: DataFrame
     #: One row per level, see match_shares().
     report: DataFrame
@@ -42,6 +42,7 @@ def match_shares(rows: DataFrame, targets: DataFrame, id_col: str = "id", seed:
     """
     want = F.greatest(F.coalesce("min_rows", F.lit(0)).cast("bigint"), F.floor(F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0)) + 0.5))
     plan = written(targets.select("target_set", "pool", "field", "level_name", "level", want.alias("wanted")), "targets")
+    rows = rows.select(id_col, "pool", "field", "level")
     small = is_small(plan)
     hint = F.broadcast if small else lambda d: d
     named = plan.where("level is not null")
@@ -49,7 +50,7 @@ def match_shares(rows: DataFrame, targets: DataFrame, id_col: str = "id", seed:
     hit = rows.where("level is not null").join(hint(named.select("target_set", "pool", "field", "level", "level_name")), ["pool", "field", "level"])
     other = rows.where("level is not null").join(hint(sets), ["pool", "field"])
     other = other.join(hint(named.select("target_set", "level").distinct()), ["target_set", "level"], "left_anti")
-    cols = ["target_set", "level_name", *[c for c in rows.columns if c not in ("pool", "field", "level")]]
+    cols = ["target_set", "level_name", id_col]
     pool = hit.select(*cols).unionByName(other.select(*cols)).withColumn("u", hash_unit(F.col(id_col), F.col("target_set"), seed))
     pool = written(pool, "pool")
 
