@@ -396,7 +396,7 @@ def metric_energy(spark, sf):
 def metric_weighted(spark, sf):
     p = written(_icp(spark, sf, C.symmetric), "icp")
     whole = p.groupBy("layer").agg(F.count("*").alias("masked"))
-    m = E.binary(p.where("prediction <> -1"), "y", "prediction", ["layer"]).join(whole, "layer")
+    m = whole.join(E.binary(p.where("prediction <> -1"), "y", "prediction", ["layer"]), "layer", "left").na.fill(0)
     w = E.weighted(F.col("mcc"), F.col("n"), F.col("masked"))
     return m.select("layer", "n", F.round("mcc", 6).alias("mcc"), F.round(w, 6).alias("wmcc"), F.round("recall", 6).alias("wrecall"), F.round(F.col("n") / F.col("masked"), 6).alias("a_rate"))
 

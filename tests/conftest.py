@@ -12,7 +12,7 @@ sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
 def spark():
     from probelake.session import local_session, sweep
 
-    session = local_session(4, 4, "tests")
+    session = local_session(4, 2, "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     sweep(session)
