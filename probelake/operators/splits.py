@@ -43,7 +43,9 @@ def exclusive_split(df: DataFrame, test_size: float = 0.25, seed: int = 42, id_c
     lengths = sizes(n)
     # how many rows each round leaves behind, from one histogram over the rounds' lengths
     table = df.sparkSession.createDataFrame([(k, x) for k, x in enumerate(lengths)], "k int, n bigint")
-    counts = {r.k: r.rows for r in to.join(F.broadcast(table), F.col("m").isNull() | (F.col("m") > F.col("n"))).groupBy("k").agg(F.count("*").alias("rows")).collect()}
+    hist = to.groupBy("m").agg(F.count("*").alias("rows"))
+    left = hist.join(F.broadcast(table), F.col("m").isNull() | (F.col("m") > F.col("n"))).groupBy("k").agg(F.sum("rows").alias("rows"))
+    counts = {r.k: r.rows for r in left.collect()}
     total = to.count()
     at = next((k for k in range(len(lengths)) if counts.get(k, 0) > test_size * total), len(lengths) - 1)
     return to.select(F.col("id").alias(id_col), (F.col("m").isNull() | (F.col("m") > lengths[at])).alias("is_test"))
