@@ -86,4 +86,25 @@ QUERIES = {
     "p7_report": p7_report,
     "p7_mix": p7_mix,
 }
-SQL: dict[str, str] = {}
+_WIDE = "".join(chr(0xFF00 + i) for i in range(0x10, 0x5B) if chr(0x20 + i).isalnum())
+_NARROW = "".join(chr(0x20 + i) for i in range(0x10, 0x5B) if chr(0x20 + i).isalnum())
+
+
+def _plain_sql(x: str) -> str:
+    """The plain form in SQL, for texts in Latin letters."""
+    return f"regexp_replace(lower(strip_accents(translate({x}, '{_WIDE}', '{_NARROW}'))), '[^a-z0-9]', '', 'g')"
+
+
+SQL: dict[str, str] = {
+    "p2_found": f"""
+        WITH once AS (SELECT dataset, CAST(correct AS VARCHAR) AS truth, {_plain_sql('object_1')} AS entity FROM statements QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ingested_at) = 1),
+        have AS (SELECT dataset, 'correct' AS field, truth AS level, count(*) AS n FROM once GROUP BY dataset, truth UNION ALL SELECT dataset, 'object_1', entity, count(*) FROM once WHERE entity <> '' GROUP BY dataset, entity),
+        want AS (SELECT *, greatest(min_rows, floor(target_share * sample_size + 0.5)) AS wanted, CASE WHEN target_field = 'correct' THEN lower(level_name) ELSE {_plain_sql('level_name')} END AS level FROM sample_targets WHERE level_name <> '*')
+        SELECT target_set, level_name FROM want w LEFT JOIN have h ON h.dataset = w.dataset AND h.field = w.target_field AND h.level = w.level WHERE wanted > coalesce(n, 0)""",
+    "p5_found": """
+        WITH v AS (SELECT vec_id, any_value(layer) AS layer, any_value([x::DOUBLE FOR x IN embeddings]) AS e FROM activations
+            WHERE embeddings IS NOT NULL AND len(embeddings) = 64 AND len([x FOR x IN embeddings IF isnan(x)]) = 0 AND len([x FOR x IN embeddings IF x <> 0]) > 0 GROUP BY vec_id),
+        s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.layer = b.layer AND a.vec_id <> b.vec_id),
+        k AS (SELECT a, b, sim FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 12) DESC, b) <= 5)
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM k WHERE sim >= 0.9""",
+}
