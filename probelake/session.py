@@ -29,7 +29,7 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "probelake") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; where the session has none, as in tests, a fresh local one."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if folder:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(folder)
