@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelake.functions.hashing import h
@@ -10,7 +10,7 @@ from probelake.functions.strings import abbreviated, capitalised, indefinite, lo
 from probelake.operators.ranks import ranked
 from probelake.session import written
 
-#: Draws of a wrong value before a slot is left empty.
+#: Draws of a wrong value before a slot's choice is made among all values that fit its key.
 ATTEMPTS = 24
 
 
@@ -53,8 +53,9 @@ def wrong_values(kv: DataFrame, seed: int = 3, slots: int = 2, abbreviations: bo
     """(key, value, slot, wrong): for each pair and slot a value drawn from all values, not one of the key's.
 
     Draws are repeated, ATTEMPTS times at most, until the value is none of the key's, differs from each by more than
-    case, and shares no word with any (with abbreviations: nor its abbreviation). A slot without such a draw gives no
-    row. Draws are equi-joins on the value's place, so keys and values are never multiplied out.
+    case, and shares no word with any (with abbreviations: nor its abbreviation). Draws are equi-joins on the value's
+    place, so keys and values are not multiplied out; only the keys of slots still open are then held against every
+    value, and the slot takes one of those that fit. A slot gives no row only if no value fits its key.
     """
     kv = kv.select("key", "value").where("key is not null and value is not null").distinct()
     own = kv.groupBy("key").agg(F.collect_set("value").alias("own"))
@@ -63,13 +64,19 @@ def wrong_values(kv: DataFrame, seed: int = 3, slots: int = 2, abbreviations: bo
     own = own.select("key", "own", words.alias("words"), F.transform("own", F.lower).alias("low"), short.alias("short"))
     values = written(ranked(kv.select("value").distinct().withColumn("h", h(seed, "value")), ["h", "value"], "place"), "values")
     n = values.count()
-    draws = kv.select("key", "value", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("slot")).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
-    draws = draws.withColumn("place", F.pmod(h(seed, F.concat_ws(":", "key", "value", "slot", "attempt")), F.lit(max(1, n))) + 1)
+    every = kv.select("key", "value", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("slot"))
+    place = lambda among: F.pmod(h(seed, F.concat_ws(":", "key", "value", "slot", "attempt")), among) + 1
+    draws = every.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)))).withColumn("place", place(F.lit(max(1, n))))
     tried = draws.join(values.select("place", F.col("value").alias("wrong")), "place").join(own, "key")
     fine = ~F.array_contains("own", F.col("wrong")) & ~F.array_contains("low", F.lower("wrong")) & ~F.arrays_overlap("words", F.split(F.lower("wrong"), r"\s+"))
     if abbreviations:
         fine = fine & ~F.array_contains("short", abbreviated(F.col("wrong"))) & ~F.array_contains("own", abbreviated(F.col("wrong")))
-    return tried.where(fine).groupBy("key", "value", "slot").agg(F.min_by("wrong", "attempt").alias("wrong"))
+    drawn = written(tried.where(fine).groupBy("key", "value", "slot").agg(F.min_by("wrong", "attempt").alias("wrong")), "drawn")
+    left = written(every.join(drawn, ["key", "value", "slot"], "left_anti"), "open")
+    fitting = own.join(left.select("key").distinct(), "key").crossJoin(values.select(F.col("place").alias("at"), F.col("value").alias("wrong"))).where(fine).select("key", "at", "wrong")
+    fitting = written(fitting.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("at")).cast("bigint")).drop("at"), "fitting")
+    chosen = left.join(fitting.groupBy("key").agg(F.count("*").alias("among")), "key").withColumn("attempt", F.lit(ATTEMPTS)).withColumn("place", place(F.col("among")))
+    return drawn.unionByName(chosen.join(fitting, ["key", "place"]).select("key", "value", "slot", "wrong"))
 
 
 def generate(kv: DataFrame, kind: str = "city", fake: bool = False, seed: int = 3) -> DataFrame:
@@ -96,8 +103,6 @@ def subsample(df: DataFrame, n: int, seed: int = 0, key: str = "row_id") -> Data
 
 def drawn_per_key(df: DataFrame, k: int, seed: int = 0, key: str = "key", value: str = "value") -> DataFrame:
     """k values of each key, drawn without replacement."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(key).orderBy(h(seed, F.concat_ws(":", key, value)), value))
     return df.select(key, value).distinct().withColumn("__k", place).where(F.col("__k") <= k).drop("__k")
 
