@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelake.functions.hashing import h
+from probelake.operators.scaling import as_arrays, vector_stats
 
 GRID = (0.05, 0.1, 0.5, 1.0, 10.0)
 #: Bags that train, and that train in a fold of the search.
@@ -65,11 +66,6 @@ def line_of(x: np.ndarray, y: np.ndarray, a: np.ndarray, c: float, cut: float =
     return w, float(np.mean(sides)) if sides else 0.0
 
 
-def scale_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sd = x.std(0)
-    return x.mean(0), np.where(sd > 0, sd, 1.0)
-
-
 def fit_linear(x: np.ndarray, y: np.ndarray, c: float, scale_c: bool = True, penalty: float = -0.1) -> tuple[np.ndarray, float]:
     """A linear support vector machine on standardised rows, y in -1 and 1; with scale_c the bound is c / rows."""
     bound = c / len(y) if scale_c else c
@@ -140,31 +136,54 @@ def _grouped(df: DataFrame, group: list[str], work: Callable[[pd.DataFrame], dic
     return df.groupBy(*group).applyInPandas(one, fields + schema)
 
 
+def _scaled(rows: DataFrame, whole: DataFrame, group: list[str], vec: str) -> DataFrame:
+    """rows with __mu and __sd, the mean and deviation of all vectors of `whole` in the row's group; a constant dim has deviation 1."""
+    mu, sd = F.col("mean"), F.col("sd")
+    scales = as_arrays(vector_stats(whole, vec, group), group, __mu=mu, __sd=F.when(sd * sd > 1e-14 * (1 + mu * mu), sd).otherwise(1.0))
+    scales = scales.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], "__mu", "__sd")
+    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    joined = rows.join(F.broadcast(scales), on, "left") if group else rows.crossJoin(F.broadcast(scales))
+    return joined.drop(*[f"__g{i}" for i in range(len(group))])
+
+
+def _scale_in(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    mu, sd = part["__mu"].iloc[0], part["__sd"].iloc[0]
+    if mu is None:
+        raise ValueError("no row to scale by")
+    return np.array(mu), np.array(sd)
+
+
 def fit(train: DataFrame, group: list[str], c: float = 1.0, vec: str = "vec", y: str = "y", limit: int = TRAIN_LIMIT, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """One linear probe a group over standardised vectors: (group, direction, bias, mu, sd, c). y is 0 or 1; a group without both gets a zero direction."""
+    """One linear probe a group over standardised vectors: (group, direction, bias, mu, sd, c). y is 0 or 1; a group without both gets a zero direction.
+
+    mu and sd are those of all rows with a y; only the solver is held to `limit` rows.
+    """
 
     def work(part: pd.DataFrame) -> dict:
         part = part.sort_values(id_col)
         x, s = np.stack(part[vec].to_numpy()), np.where(part[y].to_numpy() > 0, 1.0, -1.0)
-        mu, sd = scale_of(x)
+        mu, sd = _scale_in(part)
         w, b = fit_linear((x - mu) / sd, s, c) if len(set(s)) == 2 else (np.zeros(x.shape[1]), 0.0)
         return {"direction": w.tolist(), "bias": b, "mu": mu.tolist(), "sd": sd.tolist(), "c": c}
 
-    rows = _capped(train.where(F.col(y).isin(0, 1)), group, limit, seed, id_col)
+    whole = train.where(F.col(y).isin(0, 1))
+    rows = _scaled(_capped(whole, group, limit, seed, id_col), whole, group, vec)
     return _grouped(rows, group, work, PROBE_SCHEMA)
 
 
 def search(train: DataFrame, group: list[str], grid: tuple[float, ...] = GRID, folds: int = 3, vec: str = "vec", y: str = "y", limit: int = FOLD_LIMIT, seed: int = 42, id_col: str = "id", leak: bool = False) -> DataFrame:
-    """(group, c, fold, score): average precision of each parameter on each held-out fold, each in its own task; a fit that fails scores 0.1. leak: the scaler also sees the held-out fold."""
-    rows = _capped(train.where(F.col(y).isin(0, 1)), group, limit * folds // max(1, folds - 1), seed, id_col)
-    rows = rows.withColumn("part", F.pmod(h(seed + 1, id_col), F.lit(folds)).cast("int"))
-    tasks = rows.withColumn("c", F.explode(F.array(*[F.lit(float(c)) for c in grid]))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    """(group, c, fold, score): average precision of each parameter on each held-out fold, each in its own task; a fit that fails scores 0.1. The scaler sees all rows with a y outside the held-out fold, whatever `limit`; leak: also that fold's."""
+    whole = train.where(F.col(y).isin(0, 1)).withColumn("part", F.pmod(h(seed + 1, id_col), F.lit(folds)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    seen = whole.withColumn("fold", each).where(F.lit(leak) | (F.col("part") != F.col("fold")))
+    rows = _capped(whole, group, limit * folds // max(1, folds - 1), seed, id_col).withColumn("fold", each)
+    tasks = _scaled(rows, seen, [*group, "fold"], vec).withColumn("c", F.explode(F.array(*[F.lit(float(c)) for c in grid])))
 
     def work(part: pd.DataFrame) -> dict:
         part = part.sort_values(id_col)
         x, s, held = np.stack(part[vec].to_numpy()), np.where(part[y].to_numpy() > 0, 1.0, -1.0), (part["part"] == part["fold"]).to_numpy()
         try:
-            mu, sd = scale_of(x if leak else x[~held])
+            mu, sd = _scale_in(part)
             w, b = fit_linear((x[~held] - mu) / sd, s[~held], float(part["c"].iloc[0]))
             return {"score": average_precision_of(s[held], ((x[held] - mu) / sd) @ w + b)}
         except (ValueError, FloatingPointError):
@@ -174,22 +193,23 @@ def search(train: DataFrame, group: list[str], grid: tuple[float, ...] = GRID, f
 
 
 def fit_mil(train: DataFrame, c: float = 1.0, eta: float | None = None, limit: int = TRAIN_LIMIT, seed: int = 42) -> DataFrame:
-    """One multiple-instance probe (direction, bias, mu, sd, c) of bags in long form (bag, pos, vec, y, intra), scaled over all their instances; eta: the part of instances whose intra label is 1."""
+    """One multiple-instance probe (direction, bias, mu, sd, c) of bags in long form (bag, pos, vec, y, intra), scaled over the instances of all bags; eta: the part of all instances whose intra label is 1. Only the solver is held to `limit` bags."""
     from pyspark.sql import Window
 
     rank = F.dense_rank().over(Window.partitionBy("__all").orderBy("__h", "bag"))
     keys = train.select("bag").distinct().withColumn("__all", F.lit(0)).withColumn("__h", h(seed, "bag")).withColumn("__k", rank).where(F.col("__k") <= limit).select("bag")
-    rows = train.join(keys, "bag", "left_semi").withColumn("__all", F.lit(0))
+    rows = _scaled(train.join(keys, "bag", "left_semi"), train, [], "vec").withColumn("__all", F.lit(0))
+    rows = rows.crossJoin(F.broadcast(train.agg(F.avg("intra").alias("__eta"))))
 
     def work(part: pd.DataFrame) -> dict:
         part = part.sort_values(["bag", "pos"])
         x = np.stack(part["vec"].to_numpy())
-        mu, sd = scale_of(x)
+        mu, sd = _scale_in(part)
         x = (x - mu) / sd
         starts = np.flatnonzero(np.append(True, part["bag"].to_numpy()[1:] != part["bag"].to_numpy()[:-1]))
         bags, marks = np.split(x, starts[1:]), np.split(part["intra"].to_numpy(), starts[1:])
         y = np.where(part["y"].to_numpy()[starts] > 0, 1.0, -1.0)
-        share = float(part["intra"].mean()) if eta is None else eta
+        share = float(part["__eta"].iloc[0]) if eta is None else eta
         w, b = fit_sawmil(bags, y, marks, c, share) if len(set(y)) == 2 else (np.zeros(x.shape[1]), 0.0)
         return {"direction": w.tolist(), "bias": b, "mu": mu.tolist(), "sd": sd.tolist(), "c": c}
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from probelake.operators import datagen
+import numpy as np
+from pyspark.sql import functions as F
+
+from probelake.operators import datagen, svm
 
 
 def test_wrong_values_fill_every_slot(spark):
@@ -11,3 +14,33 @@ def test_wrong_values_fill_every_slot(spark):
     a = [r for r in got if r.key == "a"]
     assert len({(r.value, r.slot) for r in a}) == len(a) == 118 and {r.wrong for r in a} == {"v59", "w"}
     assert not [r for r in got if r.key == "full"]
+
+
+def _points(spark, n):
+    x = np.random.default_rng(1).normal(3, 2, (n, 2)) * [1, 5]
+    return x, spark.createDataFrame([(i, 7, v.tolist(), int(i % 2)) for i, v in enumerate(x)], "id int, layer int, vec array<double>, y int")
+
+
+def test_probe_scales_by_all_rows(spark):
+    x, df = _points(spark, 400)
+    p = svm.fit(df, ["layer"], limit=20).first()
+    assert np.allclose(p.mu, x.mean(0)) and np.allclose(p.sd, x.std(0))
+
+
+def test_bag_probe_scales_by_all_instances(spark):
+    x, df = _points(spark, 400)
+    bags = df.select((F.col("id") / 4).cast("int").alias("bag"), (F.col("id") % 4).alias("pos"), "vec", ((F.col("id") / 4).cast("int") % 2).alias("y"), (F.col("id") % 10 == 0).cast("int").alias("intra"))
+    p = svm.fit_mil(bags, limit=10).first()
+    assert np.allclose(p.mu, x.mean(0)) and np.allclose(p.sd, x.std(0))
+    assert np.allclose(p.direction, svm.fit_mil(bags, eta=0.1, limit=10).first().direction)
+
+
+def test_search_scales_by_all_rows_outside_the_fold(spark):
+    x, df = _points(spark, 400)
+    far = df.withColumn("vec", F.when(F.col("id") % 7 == 0, F.transform("vec", lambda v: v * 50)).otherwise(F.col("vec")))
+    parts = far.withColumn("part", F.pmod(svm.h(43, "id"), F.lit(3))).where("part <> 0").collect()
+    whole = far.withColumn("part", F.pmod(svm.h(43, "id"), F.lit(3)))
+    rows = svm._scaled(far.limit(5).withColumn("fold", F.lit(0)), whole.withColumn("fold", F.lit(0)).where("part <> 0"), ["layer", "fold"], "vec").first()
+    assert np.allclose(rows["__mu"], np.mean([r.vec for r in parts], 0))
+    seen = {r.fold: r.score for r in svm.search(far, ["layer"], (1.0,), limit=20).collect()}
+    assert len(seen) == 3
