@@ -121,7 +121,7 @@ def feat_mi(spark, sf):
 
 @query()
 def feat_rf(spark, sf):
-    return T.forest_importances(_a15(spark, sf), trees=20, depth=5)
+    return T.forest_importances(_a15(spark, sf))
 
 
 @query()
@@ -289,14 +289,14 @@ def _trained(spark, sf):
 
 @query()
 def svm_probe(spark, sf):
-    p = svm.fit(_trained(spark, sf), ["layer"], limit=600)
+    p = svm.fit(_trained(spark, sf), ["layer"])
     rows = act(spark, sf).where("split = 'test'")
     return M.scored(rows, p, ["layer"]).select(F.col("vec_id").alias("id"), "layer", "y", "score", (F.col("score") > 0).cast("int").alias("predicted"))
 
 
 @query()
 def cv_search(spark, sf):
-    return svm.search(_trained(spark, sf).where("layer = 15"), ["layer"], grid=(0.1, 1.0, 10.0), limit=300)
+    return svm.search(_trained(spark, sf).where("layer = 15"), ["layer"])
 
 
 _GRID = "g AS (SELECT c::DOUBLE AS c, fold, avg(l_discount) * 10 AS score FROM (SELECT l_linenumber / 10.0 AS c, l_suppkey % 3 AS fold, l_discount FROM lineitem) GROUP BY c, fold)"
@@ -311,7 +311,7 @@ def cv_one_se_select(spark, sf):
 @query()
 def sawmil_probe(spark, sf):
     b = written(B.intra_labels(B.drop_zero(bags(spark, sf))), "bags")
-    p = svm.fit_mil(b, limit=150)
+    p = svm.fit_mil(b)
     scored = b.crossJoin(F.broadcast(p)).select("bag", "y", M.decision("vec").alias("score"))
     return scored.groupBy("bag", "y").agg(F.max("score").alias("score"))
 

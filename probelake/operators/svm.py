@@ -7,6 +7,7 @@ parameters and folds run side by side.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,18 +22,24 @@ GRID = (0.05, 0.1, 0.5, 1.0, 10.0)
 TRAIN_LIMIT, FOLD_LIMIT = 1800, 600
 
 
-def solve_dual(kernel: np.ndarray, y: np.ndarray, c: np.ndarray | float, target: np.ndarray | None = None, penalty: float = -0.1, tol: float = 1e-4, most: int = 100_000) -> np.ndarray:
+class Products:
+    """The products of all rows of x with each other, row by row as they are asked for: at most `held` numbers are kept, so memory does not grow with the square of the rows."""
+
+    def __init__(self, x: np.ndarray, held: int = 1 << 24):
+        self.row = lru_cache(max(2, held // max(1, len(x))))(lambda i: x @ x[i])
+        self.squares = np.einsum("ij,ij->i", x, x)
+
+
+def solve_dual(kernel: np.ndarray | Products, y: np.ndarray, c: np.ndarray | float, target: np.ndarray | None = None, penalty: float = -0.1, tol: float = 1e-4, most: int = 100_000) -> np.ndarray:
     """The multipliers that maximise sum(target * a) - a' (yy' * kernel) a / 2 with sum(y a) = 0 and 0 <= a <= c.
 
     Pairs that break the optimality conditions most are moved one after another. target is 1 for a plain margin; a
-    positive penalty is added to the kernel's diagonal.
+    positive penalty is added to the kernel's diagonal. kernel: the matrix, or its rows as Products.
     """
     n = len(y)
     y = y.astype(float)
     c = np.broadcast_to(np.asarray(c, float), (n,))
-    q = kernel * np.outer(y, y)
-    if penalty > 0:
-        q = q + penalty * np.eye(n)
+    row, squares = (kernel.row, kernel.squares) if isinstance(kernel, Products) else (kernel.__getitem__, np.diag(kernel).copy())
     a, grad = np.zeros(n), -(np.ones(n) if target is None else target.astype(float))
     for _ in range(most):
         rise = ((y > 0) & (a < c)) | ((y < 0) & (a > 0))
@@ -42,7 +49,7 @@ def solve_dual(kernel: np.ndarray, y: np.ndarray, c: np.ndarray | float, target:
         f = -y * grad
         i = int(np.where(rise, f, -np.inf).argmax())
         gap = f[i] - np.where(fall, f, np.inf)
-        curve = np.maximum(kernel[i, i] + np.diag(kernel) - 2 * kernel[i] + (2 * penalty if penalty > 0 else 0), 1e-12)
+        curve = np.maximum(squares[i] + squares - 2 * row(i) + (2 * penalty if penalty > 0 else 0), 1e-12)
         j = int(np.where(fall & (gap > 0), gap * gap / curve, -np.inf).argmax())
         if f[i] - np.where(fall, f, np.inf).min() <= tol:
             break
@@ -50,7 +57,10 @@ def solve_dual(kernel: np.ndarray, y: np.ndarray, c: np.ndarray | float, target:
         step = min(step, c[i] - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else c[j] - a[j])
         a[i] += y[i] * step
         a[j] -= y[j] * step
-        grad += q[:, i] * (y[i] * step) - q[:, j] * (y[j] * step)
+        grad += y * (row(i) - row(j)) * step
+        if penalty > 0:
+            grad[i] += penalty * y[i] * step
+            grad[j] -= penalty * y[j] * step
     return a
 
 
@@ -69,7 +79,7 @@ def line_of(x: np.ndarray, y: np.ndarray, a: np.ndarray, c: float, cut: float =
 def fit_linear(x: np.ndarray, y: np.ndarray, c: float, scale_c: bool = True, penalty: float = -0.1) -> tuple[np.ndarray, float]:
     """A linear support vector machine on standardised rows, y in -1 and 1; with scale_c the bound is c / rows."""
     bound = c / len(y) if scale_c else c
-    return line_of(x, y, solve_dual(x @ x.T, y, bound, penalty=penalty), bound)
+    return line_of(x, y, solve_dual(Products(x), y, bound, penalty=penalty), bound)
 
 
 def average_precision_of(y: np.ndarray, score: np.ndarray) -> float:
@@ -93,7 +103,7 @@ def fit_sawmil(bags: list[np.ndarray], y: np.ndarray, intra: list[np.ndarray], c
     means = np.stack([b.mean(0) for b in bags])
     margin = np.where(y > 0, 2.0 / np.array([len(b) for b in bags]) - 1, 1.0)
     bound = c / len(y) if scale_c else c
-    w, b = line_of(means, y, solve_dual(means @ means.T, y, bound, margin), bound)
+    w, b = line_of(means, y, solve_dual(Products(means), y, bound, margin), bound)
     pos = np.concatenate([x for x, s in zip(bags, y) if s > 0])
     neg = np.concatenate([x for x, s in zip(bags, y) if s < 0])
     marks = np.concatenate([x for x, s in zip(intra, y) if s > 0])

@@ -44,3 +44,38 @@ def test_search_scales_by_all_rows_outside_the_fold(spark):
     assert np.allclose(rows["__mu"], np.mean([r.vec for r in parts], 0))
     seen = {r.fold: r.score for r in svm.search(far, ["layer"], (1.0,), limit=20).collect()}
     assert len(seen) == 3
+
+
+def test_products_solve_as_the_matrix_does():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (90, 3))
+    y = np.where(x[:, 0] + 0.3 * rng.normal(0, 1, 90) > 0, 1.0, -1.0)
+    for penalty in (-0.1, 0.2):
+        a, b = (svm.solve_dual(k, y, 0.5, penalty=penalty, tol=1e-9) for k in (x @ x.T, svm.Products(x, 200)))
+        assert np.allclose((a * y) @ x, (b * y) @ x, atol=1e-6) and np.isclose(a.sum(), b.sum())
+
+
+def test_registered_probes_take_the_defaults(spark, sf, monkeypatch):
+    from probelake.catalogue import models
+    from probelake.operators import features
+
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def seen(name):
+        def f(*args, **kw):
+            asked[name] = kw
+            raise Stop
+
+        return f
+
+    for at, name in ((svm, "fit"), (svm, "search"), (svm, "fit_mil"), (features, "forest_importances")):
+        monkeypatch.setattr(at, name, seen(name))
+    for q in ("svm_probe", "cv_search", "sawmil_probe", "feat_rf"):
+        try:
+            models.QUERIES[q](spark, sf)
+        except Stop:
+            pass
+    assert asked == {"fit": {}, "search": {}, "fit_mil": {}, "forest_importances": {}}
