@@ -79,59 +79,78 @@ def vector_distances(spark, sf):
     return e.select("vec_id", F.round(V.hellinger(size("v"), size("d")), 6).alias("hellinger"), F.round(V.total(F.transform("v", lambda x: V.sanitized(x, 0.5))), 6).alias("clipped"), F.size(V.padded("v", 70)).cast("bigint").alias("padded"))
 
 
-# features of the activations of layer 15
+# features of the activations, layer by layer
 
-_A15 = f"{ACT}, a15 AS (SELECT vec_id AS id, y, unnest(range(64)) AS dim, unnest(vec) AS x FROM act WHERE layer = 15)"
+_AL = f"{ACT}, al AS (SELECT layer, vec_id AS id, y, unnest(range(64)) AS dim, unnest(vec) AS x FROM act)"
 
 
-def _a15(spark, sf):
-    return written(act(spark, sf).where("layer = 15").select(F.col("vec_id").alias("id"), "vec", "y"), "a15")
+def _al(spark, sf):
+    return written(act(spark, sf).select("layer", F.col("vec_id").alias("id"), "vec", "y"), "al")
 
 
-@query(f"WITH {_A15} SELECT dim::INT AS dim, round(coalesce(corr(x, y), 0), 6) AS pearson FROM a15 GROUP BY dim")
+def _layers(df):
+    """The layers of df: tens."""
+    return sorted(r.layer for r in df.select("layer").distinct().collect())
+
+
+def _each_layer(df, work):
+    """work's result on each layer, with the layer."""
+    out = [work(df.where(F.col("layer") == k)).withColumn("layer", F.lit(k)) for k in _layers(df)]
+    first = out[0]
+    for o in out[1:]:
+        first = first.unionByName(o)
+    return first
+
+
+@query(f"WITH {_AL} SELECT layer, dim::INT AS dim, round(coalesce(corr(x, y), 0), 6) AS pearson FROM al GROUP BY layer, dim")
 def feat_pearson(spark, sf):
-    return T.pearson(_a15(spark, sf)).select("dim", F.round("pearson", 6).alias("pearson"))
+    return T.pearson(_al(spark, sf), group=["layer"]).select("layer", "dim", F.round("pearson", 6).alias("pearson"))
 
 
-@query(f"WITH {_A15}, r AS (SELECT dim, rank() OVER (PARTITION BY dim ORDER BY x) + (count(*) OVER (PARTITION BY dim, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY dim ORDER BY y) + (count(*) OVER (PARTITION BY dim, y) - 1) / 2 AS ry FROM a15) SELECT dim::INT AS dim, round(coalesce(corr(rx, ry), 0), 6) AS spearman FROM r GROUP BY dim")
+@query(f"WITH {_AL}, r AS (SELECT layer, dim, rank() OVER (PARTITION BY layer, dim ORDER BY x) + (count(*) OVER (PARTITION BY layer, dim, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY layer, dim ORDER BY y) + (count(*) OVER (PARTITION BY layer, dim, y) - 1) / 2 AS ry FROM al) SELECT layer, dim::INT AS dim, round(coalesce(corr(rx, ry), 0), 6) AS spearman FROM r GROUP BY layer, dim")
 def feat_spearman(spark, sf):
-    return T.spearman(_a15(spark, sf)).select("dim", F.round("spearman", 6).alias("spearman"))
+    return T.spearman(_al(spark, sf), group=["layer"]).select("layer", "dim", F.round("spearman", 6).alias("spearman"))
 
 
 @query(
-    f"WITH {_A15}, p AS (SELECT a.id, a.dim AS a, b.dim AS b, a.x AS x, b.x AS y FROM a15 a JOIN a15 b ON a.id = b.id AND b.dim = a.dim + 1 WHERE a.dim < 3), q AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY x, id) AS pos FROM p), "
-    "s AS (SELECT a, b, abs(lead(pos) OVER (PARTITION BY a, b ORDER BY y, pos) - pos) AS d FROM q) SELECT a::INT AS a, b::INT AS b, round(1 - 3 * sum(d) / (count(*)::DOUBLE * count(*) - 1), 6) AS xi FROM s GROUP BY a, b"
+    f"WITH {_AL}, p AS (SELECT a.layer, a.id, a.dim AS a, b.dim AS b, a.x AS x, b.x AS y FROM al a JOIN al b ON a.layer = b.layer AND a.id = b.id AND b.dim = a.dim + 1), q AS (SELECT *, row_number() OVER (PARTITION BY layer, a, b ORDER BY x, id) AS pos FROM p), "
+    "s AS (SELECT layer, a, b, abs(lead(pos) OVER (PARTITION BY layer, a, b ORDER BY y, pos) - pos) AS d FROM q) SELECT layer, a::INT AS a, b::INT AS b, round(1 - 3 * sum(d) / (count(*)::DOUBLE * count(*) - 1), 6) AS xi FROM s GROUP BY layer, a, b"
 )
 def feat_chatterjee(spark, sf):
-    return T.chatterjee(_a15(spark, sf), [0, 1, 2, 3]).select("a", "b", F.round("xi", 6).alias("xi"))
+    return T.chatterjee(_al(spark, sf), list(range(64)), group=["layer"]).select("layer", "a", "b", F.round("xi", 6).alias("xi"))
 
 
 @query(
-    f"WITH {_A15}, g AS (SELECT dim, x, count(*) FILTER (y = 1) AS c1, count(*) FILTER (y = 0) AS c0 FROM a15 GROUP BY dim, x), w AS (SELECT dim, lead(x) OVER o - x AS d, sum(c1) OVER o / sum(c1) OVER (PARTITION BY dim) - sum(c0) OVER o / sum(c0) OVER (PARTITION BY dim) AS gap FROM g WINDOW o AS (PARTITION BY dim ORDER BY x)) "
-    "SELECT dim::INT AS dim, round(sum(abs(gap) * d), 6) AS wasserstein, round(sqrt(2 * sum(gap * gap * d)), 6) AS energy FROM w GROUP BY dim"
+    f"WITH {_AL}, g AS (SELECT layer, dim, x, count(*) FILTER (y = 1) AS c1, count(*) FILTER (y = 0) AS c0 FROM al GROUP BY layer, dim, x), w AS (SELECT layer, dim, lead(x) OVER o - x AS d, sum(c1) OVER o / sum(c1) OVER (PARTITION BY layer, dim) - sum(c0) OVER o / sum(c0) OVER (PARTITION BY layer, dim) AS gap FROM g WINDOW o AS (PARTITION BY layer, dim ORDER BY x)) "
+    "SELECT layer, dim::INT AS dim, round(sum(abs(gap) * d), 6) AS wasserstein, round(sqrt(2 * sum(gap * gap * d)), 6) AS energy, round(max(abs(gap)), 6) AS ks FROM w GROUP BY layer, dim"
 )
 def feat_distances(spark, sf):
-    return T.distances(_a15(spark, sf)).select("dim", F.round("wasserstein", 6).alias("wasserstein"), F.round("energy", 6).alias("energy"))
+    return T.distances(_al(spark, sf), group=["layer"]).select("layer", "dim", *[F.round(c, 6).alias(c) for c in ("wasserstein", "energy", "ks")])
+
+
+@query(
+    f"WITH {_AL}, c AS (SELECT layer, dim, y, count(*)::DOUBLE AS n, avg(x) AS m, var_pop(x) * count(*) AS q FROM al GROUP BY layer, dim, y), g AS (SELECT layer, dim, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS m, sum(q) AS w FROM c GROUP BY layer, dim) "
+    "SELECT g.layer, g.dim::INT AS dim, round(sum(c.n * (c.m - g.m) * (c.m - g.m)) / (any_value(g.k) - 1) / (any_value(g.w) / (any_value(g.n) - any_value(g.k))), 4) AS f FROM g JOIN c ON c.layer = g.layer AND c.dim = g.dim GROUP BY g.layer, g.dim"
+)
+def feat_f(spark, sf):
+    return T.f_values(_al(spark, sf), group=["layer"]).select("layer", "dim", F.round("f", 4).alias("f"))
 
 
 @query()
 def feat_mi(spark, sf):
-    return T.mutual_information(_a15(spark, sf))
+    return T.mutual_information(_al(spark, sf), group=["layer"])
 
 
 @query()
 def feat_rf(spark, sf):
-    return T.forest_importances(_a15(spark, sf))
+    return _each_layer(_al(spark, sf), T.forest_importances)
 
 
 @query()
 def feat_mrmr(spark, sf):
-    a = _a15(spark, sf)
-    rel = {r.dim: abs(r.pearson) for r in T.pearson(a).collect()}
-    import numpy as np
-
-    chosen = T.mrmr(np.array([rel[i] for i in sorted(rel)]), T.correlations(a), 8)
-    return spark.createDataFrame(list(enumerate(chosen)), "place int, dim int")
+    a = _al(spark, sf)
+    chosen = [(k, i, d) for k in _layers(a) for i, d in enumerate(T.selected_dims(a.where(F.col("layer") == k), 8))]
+    return spark.createDataFrame(chosen, "layer int, place int, dim int")
 
 
 _PAIR = f"{STMT}, pr AS (SELECT a.row_id AS id_a, b.row_id AS id_b FROM stmt a JOIN stmt b ON a.correct = b.correct AND a.object_1 = b.object_1 AND a.object_2 = b.object_2 WHERE a.negation = 0 AND b.negation = 1 AND a.object_1 <> 'x')"
@@ -148,15 +167,29 @@ def pairs_contrast(spark, sf):
     return T.contrast_pairs(a, b, ["correct", "object_1", "object_2"], frac=0.5)
 
 
+_COND = (
+    f"{STMT}, sa AS (SELECT row_id AS id, correct AS k, category AS c FROM stmt WHERE negation = 0 AND correct IS NOT NULL AND category IS NOT NULL), sb AS (SELECT row_id AS id, correct AS k, category AS c FROM stmt WHERE negation = 1 AND correct IS NOT NULL AND category IS NOT NULL)"
+)
+
+
+@query(f"WITH {_COND}, j AS (SELECT sa.c AS ca, count(*) AS pairs FROM sa JOIN sb ON sa.k = sb.k AND sa.c <> sb.c GROUP BY sa.c) SELECT ca AS category, pairs, round(1 - pairs / sum(pairs) OVER (), 6) AS weight FROM j")
+def pairs_conditional(spark, sf):
+    a, b = _sides(spark, sf)
+    w = T.conditional_weights(T.conditional_counts(a, b, "correct", "category"))
+    return w.select(F.col("ca").alias("category"), "pairs", F.round("weight", 6).alias("weight"))
+
+
 @query(
-    f"WITH {STMT}, w AS (SELECT row_id, 1 - count(*) OVER (PARTITION BY category) / count(*) OVER ()::DOUBLE AS w FROM stmt WHERE category IS NOT NULL) SELECT row_id FROM w ORDER BY CASE WHEN w > 0 THEN ln(({h_sql(5, 'row_id')} + 0.5::DOUBLE) / 4294967296) / w ELSE '-infinity'::DOUBLE END DESC, row_id LIMIT 100"
+    f"WITH {_COND}, j AS (SELECT sa.k, sa.c AS ca, sb.c AS cb, count(*) AS pairs, count(DISTINCT sa.id) AS na, count(DISTINCT sb.id) AS nb FROM sa JOIN sb ON sa.k = sb.k AND sa.c <> sb.c GROUP BY ALL), w AS (SELECT ca, 1 - sum(pairs) / (SELECT sum(pairs) FROM j) AS w FROM j GROUP BY ca), "
+    "e AS (SELECT k, ca, cb, na, nb, sum(w * pairs) OVER (ORDER BY k, ca, cb) / sum(w * pairs) OVER () AS hi FROM j JOIN w USING (ca) WHERE w > 0), f AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY k, ca, cb), 0) AS lo FROM e), "
+    f"d AS (SELECT i, {h_sql('5c', 'i')} / 4294967296::DOUBLE AS u, {h_sql('5a', 'i')} / 4294967296::DOUBLE AS x, {h_sql('5b', 'i')} / 4294967296::DOUBLE AS z FROM range(200) r(i)), "
+    "g AS (SELECT i, k, ca, cb, floor(x * na)::BIGINT + 1 AS pa, floor(z * nb)::BIGINT + 1 AS pb FROM d JOIN f ON u >= lo AND u < hi), q AS (SELECT k, ca, cb, pa, pb, min(i) AS i FROM g GROUP BY ALL ORDER BY i LIMIT 100), "
+    "ra AS (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY id) AS p FROM sa), rb AS (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY id) AS p FROM sb) "
+    "SELECT ra.id AS id_a, rb.id AS id_b FROM q JOIN ra ON ra.k = q.k AND ra.c = q.ca AND ra.p = q.pa JOIN rb ON rb.k = q.k AND rb.c = q.cb AND rb.p = q.pb"
 )
 def pairs_weighted(spark, sf):
-    s = stmt(spark, sf, ["category"]).where("category is not null")
-    n = s.groupBy("category").agg(F.count("*").alias("c"))
-    whole = n.agg(F.sum("c").alias("all"))
-    w = s.join(F.broadcast(n), "category").crossJoin(F.broadcast(whole)).withColumn("w", 1 - F.col("c") / F.col("all"))
-    return T.weighted_sample(w, F.col("w"), F.col("row_id"), 100).select("row_id")
+    a, b = _sides(spark, sf)
+    return T.conditional_pairs(a, b, "correct", "category", 100)
 
 
 @query(f"WITH {BAGS}, l AS (SELECT bag, pos, unnest(range(64)) AS dim, unnest(vec) AS x FROM bags) SELECT bag, pos, dim::INT AS dim, round(x - avg(x) OVER (PARTITION BY bag, dim), 6) AS x FROM l")

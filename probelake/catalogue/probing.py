@@ -207,15 +207,17 @@ def scale_stats(spark, sf):
     return vector_stats(act(spark, sf).where("split = 'train'"), "vec", ["layer"]).select("layer", "dim", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@query(f"WITH {VECTORS} SELECT layer, i::INT - 1 AS i, j::INT - 1 AS j, count(*) AS n, round(sum(vec[i] * vec[j]), 4) AS value FROM vectors, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= 4 AND j <= 4 GROUP BY layer, i, j")
+@query(f"WITH {VECTORS} SELECT layer, i::INT - 1 AS i, j::INT - 1 AS j, count(*) AS n, round(sum(vec[i] * vec[j]), 4) AS value FROM vectors, range(1, 65) a(i), range(1, 65) b(j) GROUP BY layer, i, j")
 def gram(spark, sf):
-    return gram_matrix(vectors(spark, sf), "vec", ["layer"]).where("i < 4 and j < 4").select("layer", "i", "j", "n", F.round("value", 4).alias("value"))
+    return gram_matrix(vectors(spark, sf), "vec", ["layer"]).select("layer", "i", "j", "n", F.round("value", 4).alias("value"))
 
 
 @query()
 def md_whitened_direction(spark, sf):
-    w, b = M.fit_whitened(act(spark, sf).where("split = 'train' and layer = 15"))
-    return spark.createDataFrame([(i, float(x), b) for i, x in enumerate(w)], "dim int, w double, bias double")
+    rows = written(act(spark, sf).where("split = 'train'").select("layer", "vec", "y"), "rows")
+    layers = sorted(r.layer for r in rows.select("layer").distinct().collect())  # tens
+    fits = {k: M.fit_whitened(rows.where(F.col("layer") == k)) for k in layers}
+    return spark.createDataFrame([(k, i, float(x), float(b)) for k, (w, b) in fits.items() for i, x in enumerate(w)], "layer int, dim int, w double, bias double")
 
 
 def _probes(spark, sf):
@@ -401,10 +403,55 @@ def metric_weighted(spark, sf):
     return m.select("layer", "n", F.round("mcc", 6).alias("mcc"), F.round(w, 6).alias("wmcc"), F.round("recall", 6).alias("wrecall"), F.round(F.col("n") / F.col("masked"), 6).alias("a_rate"))
 
 
-@query(
-    f"WITH {PROBE}, {_TEST}, s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS place FROM t WHERE layer = 15), w AS (SELECT count(*) AS n FROM s), "
-    f"d AS (SELECT b, {h_sql(0, 'b || ' + chr(39) + ':' + chr(39) + ' || j')} % n + 1 AS place FROM w, range(100) x(b), range(0, 1000000) y(j) WHERE j < n), c AS (SELECT b, {_FOUR} FROM d JOIN s USING (place) GROUP BY b), m AS (SELECT {_MCC} AS m FROM c), "
-    f"v AS (SELECT {_MCC} AS mcc FROM (SELECT {_FOUR} FROM s)) SELECT round(mcc, 6) AS mcc, round((SELECT quantile_cont(m, 0.025) FROM m), 6) AS lower, round((SELECT quantile_cont(m, 0.975) FROM m), 6) AS upper FROM v"
+_CELLS = (
+    f"{PROBE}, {_TEST}, cells AS (SELECT layer, y, p, count(*) AS n FROM t GROUP BY layer, y, p), cum AS MATERIALIZED (SELECT *, (sum(n) OVER (PARTITION BY layer ORDER BY y, p))::BIGINT AS hi, (sum(n) OVER (PARTITION BY layer))::BIGINT AS w FROM cells), "
+    f"d AS (SELECT layer, b, {h_sql(0, 'b || ' + chr(39) + ':' + chr(39) + ' || j')} % w AS place FROM (SELECT DISTINCT layer, w FROM cum), range(100) x(b), range((SELECT max(w) FROM cum)) y(j) WHERE j < w), "
+    "drawn AS (SELECT d.layer, b, y, p, count(*) AS n FROM d JOIN cum ON d.layer = cum.layer AND place < hi AND place >= hi - n GROUP BY ALL), boot AS (SELECT layer, -1 AS b, y, p, n FROM cells UNION ALL SELECT * FROM drawn), "
+    "f AS (SELECT layer, b, coalesce(sum(n) FILTER (y = 1 AND p = 1), 0)::DOUBLE AS tp, coalesce(sum(n) FILTER (y = 0 AND p = 0), 0)::DOUBLE AS tn, coalesce(sum(n) FILTER (y = 0 AND p = 1), 0)::DOUBLE AS fp, coalesce(sum(n) FILTER (y = 1 AND p = 0), 0)::DOUBLE AS fn FROM boot GROUP BY layer, b)"
+)
+_ENDS = "SELECT layer, round(max(v) FILTER (b < 0), 6) AS value, round(quantile_cont(v, 0.025) FILTER (b >= 0), 6) AS lower, round(quantile_cont(v, 0.975) FILTER (b >= 0), 6) AS upper FROM m GROUP BY layer"
+_C2 = lambda x: f"({x}) * (({x}) - 1) / 2"
+_ARI = (
+    f"r AS (SELECT layer, b, {_C2('tp')} + {_C2('tn')} + {_C2('fp')} + {_C2('fn')} AS i, {_C2('tp + fn')} + {_C2('tn + fp')} AS pa, {_C2('tp + fp')} + {_C2('tn + fn')} AS pb, {_C2('tp + tn + fp + fn')} AS a FROM f), "
+    "m AS (SELECT layer, b, CASE WHEN (pa + pb) / 2 - pa * pb / a = 0 THEN 1.0 ELSE (i - pa * pb / a) / ((pa + pb) / 2 - pa * pb / a) END AS v FROM r)"
 )
-def bootstrap_ci_mcc(spark, sf):
-    return _round(E.bootstrap_mcc(_tested(spark, sf).where("layer = 15"), "y", "p", replicates=100), [], "mcc", "lower", "upper")
+_BOOT = {
+    "mcc": f"m AS (SELECT layer, b, {_MCC} AS v FROM f)",
+    "recall": "m AS (SELECT layer, b, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS v FROM f)",
+    "ari": _ARI,
+}
+
+
+def _boot_query(name: str):
+    def run(spark, sf):
+        return _round(E.bootstrap(_tested(spark, sf), ["y", "p"], name, ["layer"], replicates=100, repeatable=True), ["layer"], "value", "lower", "upper")
+
+    return run
+
+
+for _n, _m in _BOOT.items():
+    QUERIES[f"bootstrap_ci_{_n}"] = _boot_query(_n)
+    SQL[f"bootstrap_ci_{_n}"] = f"WITH {_CELLS}, {_m} {_ENDS}"
+
+
+@query()
+def bootstrap_ci_ami(spark, sf):
+    return E.bootstrap(_tested(spark, sf), ["y", "p"], "ami", ["layer"])
+
+
+@query()
+def bootstrap_ci_ap(spark, sf):
+    return E.bootstrap_average_precision(_tested(spark, sf).where("layer = 15"), "y", "score", replicates=200)
+
+
+@query()
+def bootstrap_ci_weighted(spark, sf):
+    p = _icp(spark, sf, C.symmetric).withColumn("accepted", (F.col("prediction") != -1).cast("int"))
+    return E.bootstrap(p, ["y", "prediction", "accepted"], "wmcc", ["layer"])
+
+
+@query("SELECT id, value::DOUBLE AS value, lower::DOUBLE AS lower, upper::DOUBLE AS upper FROM (VALUES (1, 0.7, 0.7, 0.7), (2, 0.0, -0.000001, 0.000001), (3, 0.0, -0.000001, 0.000001)) AS t(id, value, lower, upper)")
+def metric_safe(spark, sf):
+    rows = spark.createDataFrame([(1, 0.7), (2, None), (3, float("nan"))], "id int, v double")
+    v = E.safe(F.col("v"))
+    return rows.select("id", v[0].alias("value"), v[1].alias("lower"), v[2].alias("upper"))

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelake.functions.hashing import h
-from probelake.operators.ranks import by_range, ranked, running_sum
+from probelake.operators.ranks import by_range, following, running_sum
 from probelake.session import written
 
 #: What a metric is given as where it cannot be computed: value, lower and upper bound.
 FALLBACK = (0.0, -1e-6, 1e-6)
 
 
-def confusion(y: Column, p: Column) -> list[Column]:
-    """tp, tn, fp, fn as aggregates."""
-    hit = lambda a, b: F.sum(((y == a) & (p == b)).cast("double"))
+def confusion(y: Column, p: Column, times: str | None = None) -> list[Column]:
+    """tp, tn, fp, fn as aggregates; times: a column that says how often a row counts."""
+    hit = lambda a, b: F.sum(((y == a) & (p == b)).cast("double") * (F.col(times) if times else 1))
     return [hit(1, 1).alias("tp"), hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn")]
 
 
@@ -28,30 +30,29 @@ def mcc_of(tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
     return F.when(d == 0, 0.0).otherwise((tp * tn - fp * fn) / d)
 
 
-
-
-def binary(df: DataFrame, y: str, p: str, group: list[str] | None = None) -> DataFrame:
-    """(group, n, mcc, recall, precision, accuracy) of 0/1 labels and predictions."""
+def binary(df: DataFrame, y: str, p: str, group: list[str] | None = None, times: str | None = None) -> DataFrame:
+    """(group, n, mcc, recall, precision, accuracy) of 0/1 labels and predictions; times: a column that says how often a row counts."""
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    counts = (rows.groupBy(*group) if group else rows.groupBy()).agg(F.count("*").alias("n"), *confusion(F.col(y), F.col(p)))
+    counts = (rows.groupBy(*group) if group else rows.groupBy()).agg((F.sum(times) if times else F.count("*")).alias("n"), *confusion(F.col(y), F.col(p), times))
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     rate = lambda a, b: F.when(a + b == 0, 0.0).otherwise(a / (a + b))
     return counts.select(*(group or []), "n", mcc_of(tp, tn, fp, fn).alias("mcc"), rate(tp, fn).alias("recall"), rate(tp, fp).alias("precision"), rate(tp + tn, fp + fn).alias("accuracy"))
 
 
-def contingency(df: DataFrame, a: str, b: str, group: list[str] | None = None) -> DataFrame:
-    """(group, a, b, n): the pairs of labels, as many as there are classes squared."""
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*(group or []), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+def contingency(df: DataFrame, a: str, b: str, group: list[str] | None = None, times: str | None = None) -> DataFrame:
+    """(group, a, b, n): the pairs of labels, as many as there are classes squared; times: a column that says how often a row counts."""
+    counted = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*(group or []), F.col(a).alias("a"), F.col(b).alias("b"))
+    return counted.agg((F.sum(times) if times else F.count("*")).alias("n")).where("n > 0")
 
 
 def _marginals(table: DataFrame, group: list[str]) -> DataFrame:
     return table.withColumns({"na": F.sum("n").over(Window.partitionBy(*group, "a")), "nb": F.sum("n").over(Window.partitionBy(*group, "b")), "ra": F.row_number().over(Window.partitionBy(*group, "a").orderBy("b")), "rb": F.row_number().over(Window.partitionBy(*group, "b").orderBy("a"))})
 
 
-def multiclass_mcc(df: DataFrame, y: str, p: str, group: list[str] | None = None) -> DataFrame:
+def multiclass_mcc(df: DataFrame, y: str, p: str, group: list[str] | None = None, times: str | None = None) -> DataFrame:
     """(group, mcc) of any number of classes."""
     group = group or []
-    m = _marginals(contingency(df, y, p, group), group)
+    m = _marginals(contingency(df, y, p, group, times), group)
     # marginal products need each class's two marginals; classes of one side only add nothing to the cross term
     per_a = m.where("ra = 1").select(*group, F.col("a").alias("c"), F.col("na").alias("t"), F.lit(0).alias("u"))
     per_b = m.where("rb = 1").select(*group, F.col("b").alias("c"), F.lit(0).alias("t"), F.col("nb").alias("u"))
@@ -63,10 +64,10 @@ def multiclass_mcc(df: DataFrame, y: str, p: str, group: list[str] | None = None
     return both.select(*group, F.when(d == 0, 0.0).otherwise((F.col("c") * F.col("s") - F.col("tu")) / d).alias("mcc"))
 
 
-def adjusted_rand(df: DataFrame, a: str, b: str, group: list[str] | None = None) -> DataFrame:
+def adjusted_rand(df: DataFrame, a: str, b: str, group: list[str] | None = None, times: str | None = None) -> DataFrame:
     """(group, ari)."""
     group = group or []
-    m = _marginals(contingency(df, a, b, group), group)
+    m = _marginals(contingency(df, a, b, group, times), group)
     pairs = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2
     s = m.groupBy(*group).agg(F.sum(pairs("n")).alias("both"), F.sum(F.when(F.col("ra") == 1, pairs("na"))).alias("pa"), F.sum(F.when(F.col("rb") == 1, pairs("nb"))).alias("pb"), F.sum("n").cast("double").alias("n"))
     expected = F.when(F.col("n") < 2, 0.0).otherwise(F.col("pa") * F.col("pb") / F.greatest(F.lit(1.0), pairs("n")))
@@ -74,6 +75,22 @@ def adjusted_rand(df: DataFrame, a: str, b: str, group: list[str] | None = None)
     return s.select(*group, F.when(top == 0, 1.0).otherwise((F.col("both") - expected) / top).alias("ari"))
 
 
+def _expected_term(a: int, b: int, total: int) -> float:
+    """The part of the expected mutual information that a class of a and one of b of total rows have: over the values of their common rows that carry any weight, some forty deviations around the mean."""
+    low, high = max(1, a + b - total), min(a, b)
+    mean = a * b / total
+    wide = 40 * math.sqrt(mean * (1 - a / total) * (1 - b / total) * total / max(1, total - 1)) + 60
+    low, high = max(low, math.floor(mean - wide)), min(high, math.ceil(mean + wide))
+    if high < low:
+        return 0.0
+    lg = math.lgamma
+    first = lg(a + 1) + lg(b + 1) + lg(total - a + 1) + lg(total - b + 1) - lg(total + 1) - lg(low + 1) - lg(a - low + 1) - lg(b - low + 1) - lg(total - a - b + low + 1)
+    n = np.arange(low, high + 1, dtype=float)
+    step = np.log((a - n[:-1]) * (b - n[:-1])) - np.log((n[:-1] + 1) * (total - a - b + n[:-1] + 1))
+    weight = np.exp(first + np.concatenate([[0.0], step.cumsum()]))
+    return float((n / total * np.log(total * n / (a * b)) * weight).sum())
+
+
 def ami_of(table: list[tuple[object, object, int]]) -> float:
     """Adjusted mutual information of a contingency table, arithmetic normalisation."""
     rows: dict[object, int] = {}
@@ -86,22 +103,17 @@ def ami_of(table: list[tuple[object, object, int]]) -> float:
         return 1.0
     entropy = lambda m: -sum(n / total * math.log(n / total) for n in m.values())
     mutual = sum(n / total * math.log(total * n / (rows[a] * cols[b])) for a, b, n in table if n)
-    lg, expected = math.lgamma, 0.0
-    for a in rows.values():
-        for b in cols.values():
-            fixed = lg(a + 1) + lg(b + 1) + lg(total - a + 1) + lg(total - b + 1) - lg(total + 1)
-            for n in range(max(1, a + b - total), min(a, b) + 1):
-                expected += n / total * math.log(total * n / (a * b)) * math.exp(fixed - lg(n + 1) - lg(a - n + 1) - lg(b - n + 1) - lg(total - a - b + n + 1))
+    expected = sum(_expected_term(a, b, total) for a in rows.values() for b in cols.values())
     top = (entropy(rows) + entropy(cols)) / 2 - expected
     if abs(top) < 1e-15:
         return 1.0
     return (mutual - expected) / top
 
 
-def adjusted_mutual_information(df: DataFrame, a: str, b: str, group: list[str] | None = None) -> DataFrame:
+def adjusted_mutual_information(df: DataFrame, a: str, b: str, group: list[str] | None = None, times: str | None = None) -> DataFrame:
     """(group, ami). The rows shrink to a table of classes squared; its expectation is computed on that."""
     group = group or []
-    table = contingency(df, a, b, group)
+    table = contingency(df, a, b, group, times)
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         value = ami_of(list(zip(part["a"], part["b"], part["n"])))
@@ -116,7 +128,7 @@ def average_precision(df: DataFrame, y: str, score: str, group: list[str] | None
     group = group or []
     steps = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*group, (-F.col(score)).alias("t")).agg(F.sum((F.col(y) == 1).cast("bigint")).alias("pos"), F.count("*").alias("n"))
     steps = by_range(steps, *group, "t")
-    steps = running_sum(running_sum(steps, group, "__bucket", ["t"], "pos", "pos_before"), group, "__bucket", ["t"], "n", "n_before")
+    steps = running_sum(steps, group, "__bucket", ["t"], ["pos", "n"], ["pos_before", "n_before"])
     gain = F.col("pos") * (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
     sums = (steps.groupBy(*group) if group else steps.groupBy()).agg(F.sum(gain).alias("g"), F.sum("pos").alias("p"))
     return sums.select(*group, F.when(F.coalesce("p", F.lit(0)) == 0, 0.0).otherwise(F.col("g") / F.col("p")).alias("ap"))
@@ -132,11 +144,8 @@ def energy_distance(df: DataFrame, y: str, score: str, group: list[str] | None =
     joined = rows.join(F.broadcast(ends), group) if group else rows.crossJoin(F.broadcast(ends))
     scaled = joined.withColumn("t", F.when(F.col("hi") > F.col("lo"), (F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
     steps = scaled.groupBy(*group, "t").agg(F.sum((F.col(y) == 1).cast("bigint")).alias("c1"), F.sum((F.col(y) == 0).cast("bigint")).alias("c0"), F.first("n1").alias("n1"), F.first("n0").alias("n0"))
-    steps = ranked(steps, ["t"], "at", group)
     steps = by_range(steps, *group, "t")
-    steps = running_sum(running_sum(steps, group, "__bucket", ["t"], "c1", "b1"), group, "__bucket", ["t"], "c0", "b0")
-    nxt = steps.select(*group, (F.col("at") - 1).alias("at"), F.col("t").alias("t_next"))
-    steps = steps.join(nxt, [*group, "at"])
+    steps = following(running_sum(steps, group, "__bucket", ["t"], ["c1", "c0"], ["b1", "b0"]), group, "__bucket", "t", "t_next").where("t_next is not null")
     gap = (F.col("b1") + F.col("c1")) / F.col("n1") - (F.col("b0") + F.col("c0")) / F.col("n0")
     area = steps.groupBy(*group).agg(F.sum(gap * gap * (F.col("t_next") - F.col("t"))).alias("area")) if group else steps.agg(F.sum(gap * gap * (F.col("t_next") - F.col("t"))).alias("area"))
     out = ends.join(area, group, "left") if group else ends.crossJoin(area)
@@ -148,39 +157,141 @@ def weighted(value: Column, accepted: Column, masked: Column) -> Column:
     return F.when(masked == 0, 0.0).otherwise(value * accepted / masked)
 
 
-def safe(value: Column) -> Column:
-    """[value, lower, upper], or the fallback where value is null or NaN."""
-    return F.when(value.isNull() | F.isnan(value), F.array(*[F.lit(x) for x in FALLBACK]))
+def safe(value: Column, lower: Column | None = None, upper: Column | None = None) -> Column:
+    """[value, lower, upper], the bounds being the value where they are not given; the fallback where any of them is null or NaN."""
+    parts = [value, value if lower is None else lower, value if upper is None else upper]
+    bad = F.lit(False)
+    for part in parts:
+        bad = bad | part.isNull() | F.isnan(part)
+    return F.when(bad, F.array(*[F.lit(x) for x in FALLBACK])).otherwise(F.array(*[part.cast("double") for part in parts]))
+
+
+#: A metric of cells: (table, names of its label columns, column that says how often a cell counts, group) to (group, value).
+Metric = Callable[[DataFrame, list[str], str, list[str]], DataFrame]
+
+
+def _named(name: str) -> Metric:
+    return lambda t, cols, times, group: binary(t, cols[0], cols[1], group, times).select(*group, F.col(name).alias("value"))
+
+
+def _value(f: Callable[..., DataFrame]) -> Metric:
+    return lambda t, cols, times, group: f(t, cols[0], cols[1], group, times).transform(lambda d: d.select(*group, F.col(d.columns[-1]).alias("value")))
 
 
-def bootstrap_mcc(df: DataFrame, y: str, p: str, replicates: int = 1000, seed: int = 0, id_col: str = "id", poisson: bool = False) -> DataFrame:
-    """(mcc, lower, upper): the value and the 2.5 and 97.5 percentiles over resamples of as many rows, with replacement.
+def accepted_part(metric: Metric) -> Metric:
+    """A metric of three columns, the third 1 where the prediction was accepted: the metric of the accepted rows times their part of all rows."""
 
-    Draw j of resample b takes row h(seed, b:j) modulo n; the draws are a join on the row's place, then counts per
-    resample. poisson: weights drawn per row and resample instead, an approximation for large tables that needs no
-    join.
+    def run(t: DataFrame, cols: list[str], times: str, group: list[str]) -> DataFrame:
+        rate = t.groupBy(*group).agg((F.sum(F.when(F.col(cols[2]) == 1, F.col(times)).otherwise(0)) / F.sum(times)).alias("rate"))
+        inner = metric(t.where(F.col(cols[2]) == 1), cols[:2], times, group)
+        both = rate.join(inner, group, "left") if group else rate.crossJoin(inner)
+        return both.select(*group, (F.coalesce("value", F.lit(0.0)) * F.col("rate")).alias("value"))
+
+    return run
+
+
+#: Metrics of labels by name, for bootstrap(); the w ones take a third column, whether the prediction was accepted.
+METRICS: dict[str, Metric] = {n: _named(n) for n in ("mcc", "recall", "precision", "accuracy")} | {"ami": _value(adjusted_mutual_information), "ari": _value(adjusted_rand), "mcc_multi": _value(multiclass_mcc)}
+METRICS |= {f"w{n}": accepted_part(METRICS[n]) for n in ("mcc", "ami", "ari", "recall")}
+
+
+def resampled(cells: DataFrame, cols: list[str], group: list[str], replicates: int, seed: int, repeatable: bool) -> DataFrame:
+    """(group, resample, cols, times): how often each cell of (group, cols, n) is drawn in each resample of as many rows, with replacement.
+
+    Rows of one cell are alike, so a resample is a draw of counts: the work grows with resamples and cells, not with
+    rows. repeatable: the j-th draw of resample b is row h(seed, b:j) modulo n in the order of the cells, as another
+    engine can repeat it; its work grows with the rows too, but none is joined or shuffled.
+    """
+    if repeatable:
+        upto = F.sum("n").over(Window.partitionBy(*group).orderBy(*cols))  # as many rows as there are cells
+        cells = cells.withColumn("to", upto).withColumn("from", F.col("to") - F.col("n"))
+        packed = cells.groupBy(*group).agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("to", "from", *cols))).alias("cells"))
+        spark = cells.sparkSession
+        most = packed.agg(F.max("all").alias("m")).first().m or 0
+        draws = spark.range(replicates * most).select(F.floor(F.col("id") / most).cast("bigint").alias("resample"), F.pmod("id", F.lit(most)).alias("j"))
+        draws = draws.withColumn("u", h(seed, F.concat_ws(":", "resample", "j")))
+        drawn = draws.crossJoin(F.broadcast(packed)).where("j < all").withColumn("place", F.pmod("u", "all"))
+        at = F.filter("cells", lambda c: (c["to"] > F.col("place")) & (c["from"] <= F.col("place")))[0]
+        return drawn.select(*group, "resample", at.alias("c")).groupBy(*group, "resample", *[F.col(f"c.{c}").alias(c) for c in cols]).agg(F.count("*").alias("times"))
+    names = [*group, *cols]
+    table = cells.select(*names, "n").orderBy(*names).toPandas()  # classes to the power of the columns, times the groups
+    owner = table.groupby(group, dropna=False, sort=False).ngroup().to_numpy() if group else np.zeros(len(table), int)
+    counts = table["n"].to_numpy()
+    schema = ", ".join(["resample bigint", *[f"{c} {cells.schema[c].dataType.simpleString()}" for c in names], "times bigint"])
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for b in part["id"]:
+                rng = np.random.default_rng([seed, int(b)])
+                times = np.zeros(len(counts), np.int64)
+                for g in np.unique(owner):
+                    own = owner == g
+                    times[own] = rng.multinomial(counts[own].sum(), counts[own] / counts[own].sum())
+                yield table[names].assign(resample=b, times=times)[["resample", *names, "times"]][times > 0]
+
+    return cells.sparkSession.range(replicates).mapInPandas(draw, schema)
+
+
+def bootstrap(df: DataFrame, cols: list[str], metric: str | Metric, group: list[str] | None = None, replicates: int = 1000, alpha: float = 0.05, seed: int = 0, repeatable: bool = False) -> DataFrame:
+    """(group, value, lower, upper): a metric of label columns and its interval over resamples of as many rows with replacement (percentiles, linear between).
+
+    metric: a name of METRICS, or a callable of the same form. Rows with a null in cols do not count; a table without
+    rows gives no group. Rows shrink to cells of equal labels first, see resampled().
+    """
+    group = group or []
+    measure = METRICS[metric] if isinstance(metric, str) else metric
+    rows = df
+    for c in cols:
+        rows = rows.where(F.col(c).isNotNull())
+    cells = written(rows.groupBy(*group, *cols).agg(F.count("*").alias("n")), "cells")
+    if cells.isEmpty():
+        return measure(cells, cols, "n", group).where(F.lit(False)).select(*group, *[F.lit(0.0).alias(c) for c in ("value", "lower", "upper")])
+    drawn = written(resampled(cells, cols, group, replicates, seed, repeatable), "resamples")
+    per = measure(drawn, cols, "times", [*group, "resample"])
+    ends = [F.percentile("value", F.lit(q)).alias(c) for q, c in ((alpha / 2, "lower"), (1 - alpha / 2, "upper"))]
+    spread = per.groupBy(*group).agg(*ends)
+    whole = measure(cells, cols, "n", group).select(*group, "value")
+    return whole.join(spread, group) if group else whole.crossJoin(spread)
+
+
+def _poisson(rng: np.random.Generator, rows: int, replicates: int) -> np.ndarray:
+    return rng.poisson(1.0, (rows, replicates)).astype(np.int64)
+
+
+def bootstrap_average_precision(df: DataFrame, y: str, score: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """(value, lower, upper) of the average precision, resampled by Poisson weights: a row counts 0, 1, 2, ... times in each resample, on its own, which for many rows is as good as drawing with replacement.
+
+    Two passes over rows in range partitions of the score, a task holding one partition: weights' sums per partition and
+    resample, then the precision at every score from the sums of the partitions before. Null labels and scores do not
+    count; without a positive the value is 0.
     """
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(F.col(id_col).alias("id"), F.col(y).alias("y"), F.col(p).alias("p"))
-    rows = written(rows.transform(lambda d: ranked(d, ["id"], "place")), "sample")
-    n = rows.count()
-    spark = df.sparkSession
-    if not n:
-        return spark.createDataFrame([FALLBACK], "mcc double, lower double, upper double")
-    if poisson:
-        reps = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        u = h(seed, F.concat_ws(":", "b", "place")) / 2.0**32
-        w, cum, term = F.lit(0), 0.0, math.exp(-1)
-        for k in range(12):
-            cum += term
-            w = w + (u >= cum).cast("int")
-            term /= k + 1
-        drawn = reps.withColumn("w", w)
-    else:
-        draws = spark.range(replicates * n).select(F.floor(F.col("id") / n).cast("bigint").alias("b"), F.pmod("id", F.lit(n)).alias("j"))
-        draws = draws.select("b", (F.pmod(h(seed, F.concat_ws(":", "b", "j")), F.lit(n)) + 1).alias("place"))
-        drawn = draws.join(rows, "place").withColumn("w", F.lit(1))
-    hit = lambda a, b: F.sum(((F.col("y") == a) & (F.col("p") == b)).cast("double") * F.col("w"))
-    per = drawn.groupBy("b").agg(hit(1, 1).alias("tp"), hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"))
-    per = per.select(mcc_of(*(F.col(c) for c in ("tp", "tn", "fp", "fn"))).alias("m"))
-    ends = per.agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))
-    return binary(rows, "y", "p").select("mcc").crossJoin(ends)
+    rows = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).select((-F.col(score)).alias("t"), (F.col(y) == 1).cast("int").alias("pos"), F.xxhash64(id_col, F.lit(seed)).alias("draw"))
+    placed = by_range(rows, "t")
+
+    def weights(part: pd.DataFrame) -> np.ndarray:
+        return np.stack([_poisson(np.random.default_rng(d & (2**63 - 1)), 1, replicates)[0] for d in part["draw"]]) if len(part) else np.zeros((0, replicates), np.int64)
+
+    def totals(part: pd.DataFrame) -> pd.DataFrame:
+        w = weights(part)
+        return pd.DataFrame([{"__bucket": part["__bucket"].iloc[0], "p": (w * part["pos"].to_numpy()[:, None]).sum(0).tolist(), "n": w.sum(0).tolist()}])
+
+    sums = placed.groupBy("__bucket").applyInPandas(totals, "__bucket int, p array<bigint>, n array<bigint>").orderBy("__bucket").toPandas()  # a row a partition
+    before_p, before_n, p, n = {}, {}, np.zeros(replicates, np.int64), np.zeros(replicates, np.int64)
+    for bucket, dp, dn in zip(sums["__bucket"], sums["p"], sums["n"]):
+        before_p[bucket], before_n[bucket] = p.copy(), n.copy()
+        p, n = p + np.array(dp), n + np.array(dn)
+    whole = p
+
+    def gains(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["t", "draw"])
+        w, bucket = weights(part), part["__bucket"].iloc[0]
+        starts = np.flatnonzero(np.append(True, np.diff(part["t"].to_numpy()) != 0))
+        pos, all_ = np.add.reduceat(w * part["pos"].to_numpy()[:, None], starts), np.add.reduceat(w, starts)
+        cp, cn = before_p[bucket] + pos.cumsum(0), before_n[bucket] + all_.cumsum(0)
+        return pd.DataFrame({"b": np.arange(replicates), "g": (pos * cp / np.maximum(cn, 1)).sum(0)})
+
+    per = placed.groupBy("__bucket").applyInPandas(gains, "b int, g double").groupBy("b").agg(F.sum("g").alias("g"))
+    of = df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(whole)], "b int, p double")  # a row a resample
+    per = of.join(per, "b", "left").select(F.when(F.col("p") > 0, F.coalesce("g", F.lit(0.0)) / F.col("p")).otherwise(0.0).alias("v"))
+    ends = per.agg(F.percentile("v", F.lit(alpha / 2)).alias("lower"), F.percentile("v", F.lit(1 - alpha / 2)).alias("upper"))
+    return average_precision(df, y, score).select(F.col("ap").alias("value")).crossJoin(ends)

@@ -104,10 +104,88 @@ def test_metrics_of_equal_labels(spark):
     assert metrics.average_precision(df, "y", "s").first().ap == pytest.approx(1)
     assert metrics.binary(df, "y", "y").first().mcc == pytest.approx(1)
     assert metrics.energy_distance(df, "y", "s").first().energy == pytest.approx(math.sqrt(2))
-    b = metrics.bootstrap_mcc(df, "y", "y", 20).first()
-    assert b.lower == b.upper == pytest.approx(1)
-    near = metrics.bootstrap_mcc(df.withColumn("p", F.when(F.col("id") < 50, F.col("y")).otherwise(0)), "y", "p", 50, poisson=True).first()
-    assert near.lower <= near.mcc <= near.upper
+    b = metrics.bootstrap(df.withColumn("p", F.col("y")), ["y", "p"], "mcc", replicates=20).first()
+    assert b.lower == b.upper == b.value == pytest.approx(1)
+    near = df.withColumn("p", F.when(F.col("id") < 50, F.col("y")).otherwise(0)).withColumn("accepted", (F.col("id") < 58).cast("int"))
+    for repeatable in (False, True):
+        for name in ("mcc", "ami", "ari", "recall", "accuracy"):
+            got = metrics.bootstrap(near, ["y", "p"], name, replicates=40, repeatable=repeatable).first()
+            assert got.lower <= got.value <= got.upper
+    whole = metrics.bootstrap(near, ["y", "p", "accepted"], "wmcc", replicates=40).first()
+    assert whole.value == pytest.approx(metrics.binary(near.where("accepted = 1"), "y", "p").first().mcc * 58 / 60)
+    assert metrics.bootstrap(near, ["y", "p"], lambda t, c, n, g: t.groupBy(*g).agg((F.sum(F.when(F.col(c[0]) == 1, F.col(n)).otherwise(0)) / F.sum(n)).alias("value")), replicates=40).first().value == 0.5
+    assert metrics.bootstrap(near.limit(0), ["y", "p"], "mcc").count() == 0
+    ap = metrics.bootstrap_average_precision(df.withColumn("s", (F.col("id") * 37 % 60 + 20 * F.col("y")).cast("double")), "y", "s", replicates=60).first()
+    assert ap.lower < ap.value < ap.upper
+
+
+def test_resamples_have_the_binomial_law(spark):
+    cells = spark.createDataFrame([(0, 0, 30), (0, 1, 70)], "y int, p int, n bigint")
+    for repeatable in (False, True):
+        got = metrics.resampled(cells, ["y", "p"], [], 400, 3, repeatable).where("p = 1").agg(F.avg("times").alias("m"), F.stddev("times").alias("s")).first()
+        assert abs(got.m - 70) < 1.2 and abs(got.s - math.sqrt(21)) < 0.7
+
+
+def test_safe_keeps_good_values(spark):
+    v = spark.createDataFrame([(0.7, 0.6, 0.8), (None, 0.1, 0.2), (0.5, float("nan"), 0.6)], "v double, l double, u double")
+    assert [r[0] for r in v.select(metrics.safe(F.col("v"), F.col("l"), F.col("u"))).collect()] == [[0.7, 0.6, 0.8], list(metrics.FALLBACK), list(metrics.FALLBACK)]
+
+
+def test_expected_mutual_information_near_the_mean_is_the_whole_sum():
+    def slow(a, b, t):
+        lg = math.lgamma
+        fixed = lg(a + 1) + lg(b + 1) + lg(t - a + 1) + lg(t - b + 1) - lg(t + 1)
+        return sum(n / t * math.log(t * n / (a * b)) * math.exp(fixed - lg(n + 1) - lg(a - n + 1) - lg(b - n + 1) - lg(t - a - b + n + 1)) for n in range(max(1, a + b - t), min(a, b) + 1))
+
+    for a, b, t in ((1, 1, 1), (3, 4, 7), (500, 700, 1000), (40_000, 90_000, 300_000), (5, 299_990, 300_000)):
+        assert metrics._expected_term(a, b, t) == pytest.approx(slow(a, b, t), rel=1e-6, abs=1e-9)
+    assert abs(metrics.ami_of([(0, 0, 400_000_000), (0, 1, 100_000_000), (1, 0, 100_000_000), (1, 1, 400_000_000)]) - 0.278) < 0.01
+
+
+def test_conditional_pairs_and_their_weights(spark):
+    a = spark.createDataFrame([(i, i % 2, "xyz"[i % 3]) for i in range(30)] + [(98, None, "x"), (99, 1, None)], "id bigint, correct int, category string")
+    b = spark.createDataFrame([(100 + i, i % 2, "xy"[i % 2]) for i in range(20)], "id bigint, correct int, category string")
+    every = [(x.id, z.id, x.category) for x in a.collect() for z in b.collect() if x.correct is not None and x.category and x.correct == z.correct and x.category != z.category]
+    counts = {r.ca: (r.pairs, r.weight) for r in features.conditional_weights(features.conditional_counts(a, b, "correct", "category")).collect()}
+    for c in "xyz":
+        n = sum(1 for e in every if e[2] == c)
+        assert counts[c] == (n, pytest.approx(1 - n / len(every)))
+    for n in (20, 10_000):
+        got = [tuple(r) for r in features.conditional_pairs(a, b, "correct", "category", n).collect()]
+        assert len(got) == len(set(got)) == min(n, len(every)) and set(got) <= {e[:2] for e in every}
+    assert features.conditional_pairs(a.limit(0), b, "correct", "category", 5).count() == 0
+
+
+def test_mutual_information_in_blocks_is_that_of_all_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 400)
+    x = np.round(rng.normal(size=(400, 3)) + y[:, None] * np.array([1.0, 0.2, 0.0]), 2)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))] + [(900, [1.0, float("nan"), 2.0], 7)], "id bigint, vec array<double>, y int")
+    want = {d: features.nearest_mutual_information(x[:, d], y, 5) for d in range(3)}
+    for size in (20, 10_000):
+        got = {r.dim: r.mi for r in features.mutual_information(df, k=5, block_rows=size).collect()}
+        assert got == {d: pytest.approx(v, abs=1e-6) for d, v in want.items()}
+
+
+def test_dims_are_chosen_by_any_measure(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 120)
+    x = rng.normal(size=(120, 4)) + np.outer(y, [3.0, 0.0, 1.5, 0.0])
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id bigint, vec array<double>, y int")
+    for relevance in ("ks", "f", "pearson", "mi"):
+        assert features.selected_dims(df, 2, relevance)[0] == 0
+    for redundancy in ("spearman", "chatterjee"):
+        assert set(features.selected_dims(df, 2, "f", redundancy)) <= {0, 2, 1, 3}
+    assert features.selected_dims(df, 1, lambda d, v, t: features.pearson(d, v, t), lambda d, v: np.eye(4)) == [0]
+    with pytest.raises(ValueError):
+        features.selected_dims(df, 1, "distance_covariance")
+    order = np.argsort(np.argsort(x, axis=0), axis=0) + 1
+    by = order[np.argsort(order[:, 1]), 0]
+    assert features.chatterjee_matrix(df)[0, 1] == pytest.approx(1 - 3 * np.abs(np.diff(by)).sum() / (120**2 - 1))
 
 
 def test_identities_of_published_figures():
