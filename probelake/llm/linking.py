@@ -3,21 +3,25 @@
 Records and the keys they name are a bipartite graph. A key is known by the smallest id of its records, so labels are
 ids from the start. Keys of the second kind that name a single key of the first kind are leaves; they wait aside. Over
 the others the smallest label spreads along the links, iteration by iteration, each followed by a step to the label's
-own label, until nothing changes. Groups then go to splits whole: the few large ones first, each where most room is
-left, the others in one order of strata and hash, cut where the running sums reach the splits' room.
+own label, until nothing changes. Groups then go to splits whole: the few large ones first, each where the labels'
+counts deviate least from the plan, and moved once more while that lowers the deviation; the others in one order of
+strata and hash, cut where the running sums reach what each stratum's label still wants of each split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelake.functions.text import plain_form
 from probelake.operators.ranks import hash_unit, running_sum
 from probelake.session import is_small, written
 
-#: A group of more than this part of all rows is placed on its own; there are at most 1 / LARGE of them.
+#: A group of more than this part of all rows is placed on its own; there are at most 1 / LARGE of them. Labels of fewer rows than this part count together where large groups are placed.
 LARGE = 0.001
+#: Splits that a plan may have: its rows go to the driver.
+MAX_SPLITS = 10_000
 #: Groups that are ordered together.
 BUCKET_GROUPS = 4096
 
@@ -81,51 +85,107 @@ def shared_groups(groups: DataFrame) -> DataFrame:
     return groups.join(many, "group_id").select("group_id", "row_id")
 
 
+def place_groups(counts: np.ndarray, totals: np.ndarray, shares: np.ndarray, passes: int = 20) -> np.ndarray:
+    """The split of each group. counts: groups x labels, in the order of placing; totals: rows of each label in all; shares: of the splits, adding up to 1.
+
+    A group goes where the summed deviation grows least: (rows there - rows wanted)^2 / rows wanted over its labels and
+    over all rows. Then groups move to other splits while that lowers the sum.
+    """
+    counts = np.concatenate([counts, counts.sum(1, keepdims=True)], 1).astype(float)
+    want = np.maximum(np.outer(shares, np.append(totals, totals.sum())), 1e-9)
+    there = np.zeros_like(want)
+    to = np.zeros(len(counts), int)
+    gain = lambda n: (n * (2 * (there - want) + n) / want).sum(1)
+    for g, n in enumerate(counts):
+        to[g] = int(gain(n).argmin())
+        there[to[g]] += n
+    for _ in range(passes):
+        moved = False
+        for g, n in enumerate(counts):
+            there[to[g]] -= n
+            costs = gain(n)
+            best = int(costs.argmin())
+            if costs[best] < costs[to[g]] - 1e-9:
+                to[g], moved = best, True
+            there[to[g]] += n
+        if not moved:
+            break
+    return to
+
+
 def split_groups(groups: DataFrame, labels: DataFrame, plan: DataFrame, id_col: str = "row_id", seed: int = 29) -> DataFrame:
     """(id, group_id, split): whole groups in splits of the plan's shares, labels spread alike.
 
     groups: (id, group_id); labels: (id, label), one row an id at most, an id without one has a null label, which
-    counts as a label; plan: (split, target_share), shares above 0. A group's stratum is its commonest label. Groups
-    larger than LARGE of all rows go first, largest first, each to the split with the most room left, be it too little;
-    the others follow within each stratum by hash, cut where the running sums reach what the stratum still wants of
-    each split. An empty table gives an empty result; a plan without a share above 0 raises an error.
+    counts as a label; plan: (split, target_share), shares above 0, at most MAX_SPLITS. Groups larger than LARGE of all
+    rows go first, see place_groups(); the others, whose stratum is their commonest label, follow within each stratum by
+    hash, cut where the running sums reach what the label still wants of each split after the large groups. An empty
+    table gives an empty result; a plan without a share above 0, or with too many splits, raises an error.
     """
-    shares = [(r.split, float(r.target_share)) for r in plan.where("target_share > 0").orderBy("split").limit(1000).collect()]
+    shares = [(r.split, float(r.target_share)) for r in plan.where("target_share > 0").orderBy("split").limit(MAX_SPLITS + 1).collect()]
     if not shares:
         raise ValueError("the plan has no share above 0")
+    if len(shares) > MAX_SPLITS:
+        raise ValueError(f"the plan has more than {MAX_SPLITS} splits")
     tagged = groups.join(labels.select(F.col(id_col), F.col("label").cast("string").alias("label")), id_col, "left")
-    per_label = tagged.groupBy("group_id", "label").agg(F.count("*").alias("n"))
+    per_label = written(tagged.groupBy("group_id", "label").agg(F.count("*").alias("n")), "labelled")
     sized = per_label.groupBy("group_id").agg(F.sum("n").alias("rows"), F.max_by("label", F.struct("n", "label")).alias("stratum"))
     sized = written(sized, "groups")
     total = sized.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("groups")).first()
     whole = sum(s for _, s in shares)
     names = [name for name, _ in shares]
-    room = {name: share / whole * total.rows for name, share in shares}
     spark = groups.sparkSession
-    placed = []
-    for r in sized.where(F.col("rows") > LARGE * total.rows).orderBy(F.desc("rows"), "group_id").collect():  # at most 1 / LARGE
-        best = max(room, key=lambda s: (room[s], s))
-        room[best] -= r.rows
-        placed.append((r.group_id, best, r.stratum, r.rows))
-    large = spark.createDataFrame(placed, f"group_id {groups.schema['group_id'].dataType.simpleString()}, split string, stratum string, rows bigint")
-    small = sized.where(F.col("rows") <= LARGE * total.rows)
+    big = F.col("rows") > LARGE * total.rows
+
+    # large groups, at most 1 / LARGE, by their counts of the labels that have that part of the rows, at most 1 / LARGE, and of all others together
+    of_label = written(per_label.groupBy("label").agg(F.sum("n").alias("rows")), "labels")
+    common = of_label.where(F.col("rows") >= LARGE * total.rows).orderBy("label").collect()
+    place = {r.label: i for i, r in enumerate(common)}
+    totals = np.array([*(r.rows for r in common), total.rows - sum(r.rows for r in common)], float)
+    order = [r.group_id for r in sized.where(big).orderBy(F.desc("rows"), "group_id").select("group_id").collect()]
+    row = {g: i for i, g in enumerate(order)}
+    counts = np.zeros((len(order), len(totals)))
+    frequent = of_label.where(F.col("rows") >= LARGE * total.rows).select(F.col("label").alias("l"))
+    mine = per_label.join(F.broadcast(sized.where(big).select("group_id")), "group_id")
+    known = mine.join(F.broadcast(frequent), F.col("label").eqNullSafe(F.col("l")), "left").groupBy("group_id", F.when(F.col("l").isNotNull() | F.col("label").isNull(), F.col("label")).otherwise("").alias("label")).agg(F.sum("n").alias("n"))
+    for r in known.collect() if order else ():
+        counts[row[r.group_id], place.get(r.label, len(totals) - 1)] += r.n
+    to = place_groups(counts, totals, np.array([s / whole for _, s in shares]))
+    large = spark.createDataFrame([(g, names[to[i]]) for g, i in row.items()], f"group_id {groups.schema['group_id'].dataType.simpleString()}, split string")
+
+    small = sized.where(~big)
     small = small.withColumn("u", hash_unit(F.col("group_id"), seed))
     small = small.withColumn("bucket", F.floor(F.col("u") * max(1, -(-total.groups // BUCKET_GROUPS))).cast("int"))
     small = running_sum(small, ["stratum"], "bucket", ["u", "group_id"], "rows", "before")
 
-    # what each stratum still wants of each split, after its large groups
-    there = [F.coalesce(F.sum(F.when(F.col("split") == name, F.col("rows"))), F.lit(0)).alias(f"there_{i}") for i, name in enumerate(names)]
-    parts = small.select("stratum", "rows", F.lit(None).cast("string").alias("split")).unionByName(large.select("stratum", "rows", "split"))
-    strata = parts.groupBy("stratum").agg(F.sum("rows").alias("rows"), F.coalesce(F.sum(F.when(F.col("split").isNull(), F.col("rows"))), F.lit(0)).alias("all"), *there)
-    wants = [F.greatest(F.lit(0.0), F.col("rows") * (share / whole) - F.col(f"there_{i}")) for i, (_, share) in enumerate(shares)]
-    strata = written(strata.select(F.col("stratum").alias("s"), "all", F.array(*wants).alias("wants")), "strata")
+    # what each label still wants of each split, after the large groups: of its own rows, whatever group they are in
+    plan_rows = spark.createDataFrame([(i, name, share / whole) for i, (name, share) in enumerate(shares)], "place int, split string, share double")
+    taken = per_label.join(F.broadcast(large), "group_id").groupBy(F.col("label").alias("t"), "split").agg(F.sum("n").alias("there"))
+    wants = of_label.crossJoin(F.broadcast(plan_rows)).join(taken, [F.col("label").eqNullSafe(F.col("t")), plan_rows["split"] == taken["split"]], "left")
+    wants = wants.select("label", "place", F.greatest(F.lit(0.0), F.col("rows") * F.col("share") - F.coalesce("there", F.lit(0))).alias("want"))
+    wants = wants.withColumn("upto", F.sum("want").over(Window.partitionBy("label").orderBy("place")))
+    strata = wants.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "upto"))), lambda x: x["upto"]).alias("ends"))  # as many as the plan has splits
+    placed = sized.where(~big).groupBy("stratum").agg(F.sum("rows").alias("all")).withColumnRenamed("stratum", "s")
+    strata = written(placed.join(strata, F.col("s").eqNullSafe(F.col("label"))).select("s", "all", "ends"), "strata")
     small = small.join(F.broadcast(strata) if is_small(strata) else strata, F.col("stratum").eqNullSafe(F.col("s")))
-    add = lambda n: F.aggregate(F.slice("wants", 1, n), F.lit(0.0), lambda x, y: x + y)
-    place, split = (F.col("before") + F.col("rows") / 2) / F.col("all") * add(len(names)), F.lit(names[-1])
-    for i in range(len(names) - 2, -1, -1):
-        split = F.when(place < add(i + 1), names[i]).otherwise(split)
-    to = small.select("group_id", split.alias("split")).unionByName(large.select("group_id", "split"))
-    return groups.join(to, "group_id").select(id_col, "group_id", "split")
+    at = (F.col("before") + F.col("rows") / 2) / F.col("all") * F.element_at("ends", -1)
+    small = small.withColumn("at", at).withColumn("place", F.least(F.size(F.filter("ends", lambda e: e <= F.col("at"))), F.lit(len(names) - 1)))
+    small = small.join(F.broadcast(plan_rows.select("place", "split")), "place")
+    both = small.select("group_id", "split").unionByName(large.select("group_id", "split"))
+    return groups.join(both, "group_id").select(id_col, "group_id", "split")
+
+
+def split_deviation(assigned: DataFrame, labels: DataFrame, plan: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """(split, label, rows, share, target_share, deviation): of each label's rows the part that each split of the plan got, and how far that is from the plan; label "*" stands for all rows."""
+    whole = F.sum("target_share").over(Window.partitionBy())
+    shares = plan.where("target_share > 0").select("split", (F.col("target_share") / whole).alias("target_share"))  # a row a split
+    tagged = assigned.join(labels.select(id_col, F.col("label").cast("string").alias("label")), id_col, "left").groupBy("split", "label").agg(F.count("*").alias("n"))
+    counts = written(tagged.unionByName(tagged.groupBy("split").agg(F.sum("n").alias("n")).withColumn("label", F.lit("*"))), "counts")
+    sizes = counts.groupBy("label").agg(F.sum("n").alias("of")).withColumnRenamed("label", "l")
+    every = sizes.crossJoin(F.broadcast(shares))
+    got = every.join(counts, (every["split"] == counts["split"]) & every["l"].eqNullSafe(counts["label"]), "left")
+    share = F.coalesce("n", F.lit(0)) / F.col("of")
+    return got.select(every["split"], F.col("l").alias("label"), F.coalesce("n", F.lit(0)).alias("rows"), share.alias("share"), "target_share", (share - F.col("target_share")).alias("deviation"))
 
 
 def statement_label(correct: Column, real: Column) -> Column:
@@ -133,7 +193,11 @@ def statement_label(correct: Column, real: Column) -> Column:
     return F.when(~real, "neither").when(correct, "true").when(~correct, "false")
 
 
+def statement_labels(statements: DataFrame) -> DataFrame:
+    """(row_id, label): dataset and truth of each row_id."""
+    return statements.where("row_id is not null").groupBy("row_id").agg(F.min(F.concat_ws("|", "dataset", statement_label(F.col("correct"), F.col("real_object")))).alias("label"))
+
+
 def statement_splits(statements: DataFrame, plan: DataFrame) -> DataFrame:
     """(row_id, group_id, split) of statements by statement_groups, stratified by dataset and truth."""
-    labels = statements.where("row_id is not null").groupBy("row_id").agg(F.min(F.concat_ws("|", "dataset", statement_label(F.col("correct"), F.col("real_object")))).alias("label"))
-    return split_groups(written(statement_groups(statements), "linked"), labels, plan)
+    return split_groups(written(statement_groups(statements), "linked"), written(statement_labels(statements), "truths"), plan)

@@ -55,8 +55,8 @@ def mix(counts: DataFrame, weights: DataFrame, slot_tokens: int = 2048, seed: in
     documents is reported with nothing placed; repeated rows of counts are separate documents. Empty tables give an
     empty mix. The last block of a source ends with the document that fills it, so placed_tokens may exceed
     target_tokens by less than one document. report: source, target_share, target_tokens, available_tokens,
-    max_repeats, placed_tokens, passes, actual_share (of all placed), short (target_tokens exceeds max_repeats times
-    available_tokens).
+    max_repeats, placed_tokens, passes, actual_share (of all placed), short (what the schedule placed stays below
+    target_tokens: all passes over the source do not fill it).
     """
     spark = counts.sparkSession
     counts = written(counts.where("key is not null and n_tokens > 0"), "counts")
@@ -70,10 +70,10 @@ def mix(counts: DataFrame, weights: DataFrame, slot_tokens: int = 2048, seed: in
         share = max(0.0, r.target_share or 0.0)
         target = share * (r.total_tokens or 0)
         cap = (r.max_repeats or 0) * r.available_tokens
-        table.append((r.source, r.key, share, target, r.available_tokens, r.docs, r.max_repeats or 0, min(target, float(cap)), low, low + share, target > cap))
+        table.append((r.source, r.key, share, target, r.available_tokens, r.docs, r.max_repeats or 0, min(target, float(cap)), low, low + share))
         low += share
         slots = max(slots, -(-int(r.total_tokens or 0) // slot_tokens))
-    schema = "source string, key string, target_share double, target_tokens double, available_tokens bigint, docs bigint, max_repeats int, fill double, low double, high double, short boolean"
+    schema = "source string, key string, target_share double, target_tokens double, available_tokens bigint, docs bigint, max_repeats int, fill double, low double, high double"
     sources = spark.createDataFrame(table, schema)
 
     # each source's uses: passes over its shuffled documents, as far as its target reaches
@@ -87,19 +87,21 @@ def mix(counts: DataFrame, weights: DataFrame, slot_tokens: int = 2048, seed: in
     # slots of each source, numbered in the order of the schedule
     point = F.expr(f"(id + 0.5D) * {GOLDEN!r}D").alias("x")
     slot = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("x"))
-    scale = F.lit(low if low > 0 else 1.0)
-    slot = slot.join(F.broadcast(live.select("key", "low", "high")), (F.col("x") * scale >= F.col("low")) & (F.col("x") * scale < F.col("high")))
+    # a source stands in every cell of the unit interval that its weights reach into: an equi-join, a few sources a cell
+    scale, cells = (low if low > 0 else 1.0), 2 * len(table) + 1
+    cell = lambda c: F.least(F.floor(c / scale * cells), F.lit(cells - 1)).cast("int")
+    reach = live.select("key", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    slot = slot.withColumn("x", F.col("x") * scale).withColumn("cell", cell(F.col("x")))
+    slot = slot.join(F.broadcast(reach), "cell").where("x >= low and x < high")
     slot = slot.withColumn("bucket", F.floor(F.col("slot") / BUCKET_SLOTS).cast("int")).withColumn("one", F.lit(1))
     slot = running_sum(slot.select("key", "slot", "bucket", "one"), ["key"], "bucket", ["slot"], "one", "block").select("key", "slot", F.col("block").cast("bigint").alias("block"))
 
     # a source whose slots round to fewer than its blocks puts the rest behind the last slot
     uses = used.join(slot, ["key", "block"], "left").withColumn("slot", F.coalesce("slot", F.lit(slots)))
     uses = written(uses.join(F.broadcast(live.select("key", "source")), "key").select("slot", "source", "doc_id", F.col("pass"), "n_tokens", F.col("before").alias("source_rank")), "mix")
-    placed = uses.groupBy("source").agg(F.sum("n_tokens").alias("placed_tokens"), F.max("pass").alias("passes"))
+    placed = written(uses.groupBy("source").agg(F.sum("n_tokens").alias("placed_tokens"), F.max("pass").alias("passes")), "placed")
     report = sources.join(F.broadcast(placed), "source", "left").na.fill(0, ["placed_tokens", "passes"])
-    whole = uses.agg(F.sum("n_tokens").alias("whole"))
-    report = report.crossJoin(F.broadcast(whole)).select(
-        "source", "target_share", "target_tokens", "available_tokens", "max_repeats", "placed_tokens", "passes",
-        F.coalesce(F.col("placed_tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), "short",
-    )
-    return Mix(uses, report)
+    whole = placed.agg(F.sum("placed_tokens").alias("whole")).first().whole or 0
+    share = F.col("placed_tokens") / float(whole) if whole else F.lit(0.0)
+    short = F.col("placed_tokens") < F.col("target_tokens")
+    return Mix(uses, report.select("source", "target_share", "target_tokens", "available_tokens", "max_repeats", "placed_tokens", "passes", share.alias("actual_share"), short.alias("short")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from probelake.llm import linking, mixing, neighbours, overlap, reading, sampling, tokens
+from probelake.session import written
 from probelake.sources.tables import table
 
 
@@ -35,7 +36,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = sampling.statement_sample(table(spark, sf_dir, "statements"), table(spark, sf_dir, "sample_targets")).report
-    return report.where(f"deficit > 0 and level_name <> '{sampling.REST}'").select("target_set", "level_name")
+    return report.where(f"wanted > available and level_name <> '{sampling.REST}'").select("target_set", "level_name")
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,11 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.statement_splits(table(spark, sf_dir, "statements"), table(spark, sf_dir, "split_plan"))
 
 
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statements, plan = table(spark, sf_dir, "statements"), table(spark, sf_dir, "split_plan")
+    return linking.split_deviation(written(linking.statement_splits(statements, plan), "splits"), linking.statement_labels(statements), plan)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_pairs(overlap.statement_overlaps(table(spark, sf_dir, "statements")))
 
@@ -80,6 +86,7 @@ QUERIES = {
     "p2_sample": p2_sample,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p3_report": p3_report,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,

@@ -29,40 +29,73 @@ class Sample:
     report: DataFrame
 
 
+def quotas(plan: DataFrame) -> DataFrame:
+    """plan (target_set, level_name, target_share, min_rows, sample_size, available) with wanted and quota.
+
+    wanted: the larger of min_rows and target_share * sample_size to the nearest integer. quota: how many rows the
+    level is to give, adding up to sample_size in each set: shares in whole numbers by largest remainders, levels below
+    their min_rows raised to it, as far as they have the rows, and as many taken from the others, in proportion to what
+    they have above their minima. Where the minima alone exceed sample_size, the quotas are the minima.
+    """
+    per = Window.partitionBy("target_set")
+    share, least = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce("min_rows", F.lit(0)), F.lit(0)).cast("bigint")
+    rows = plan.withColumn("__share", share).withColumn("__min", least).withColumn("__least", F.least("__min", "available")).withColumn("__size", F.max(F.coalesce("sample_size", F.lit(0))).over(per).cast("bigint"))
+    rows = rows.withColumn("wanted", F.greatest("__min", F.floor(F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0)) + 0.5)))
+
+    def dealt(df: DataFrame, amount: str, weight: str, out: str) -> DataFrame:
+        total = F.sum(weight).over(per)
+        df = df.withColumn("__exact", F.when(total > 0, F.col(amount) * F.col(weight) / total).otherwise(0.0))
+        df = df.withColumn("__whole", F.floor(F.col("__exact") + 1e-9)).withColumn("__rest", F.col("__exact") - F.col("__whole"))
+        left = F.when(total > 0, F.col(amount)).otherwise(0) - F.sum("__whole").over(per)
+        place = F.row_number().over(per.orderBy(F.desc("__rest"), "level_name"))
+        return df.withColumn(out, (F.col("__whole") + (place <= left).cast("int")).cast("bigint")).drop("__exact", "__whole", "__rest")
+
+    rows = dealt(rows, "__size", "__share", "__even")
+    rows = rows.withColumn("__raise", F.greatest(F.lit(0), F.col("__least") - F.col("__even"))).withColumn("__slack", F.greatest(F.lit(0), F.col("__even") - F.col("__least")).cast("double"))
+    rows = rows.withColumn("__excess", F.least(F.sum("__raise").over(per).cast("double"), F.sum("__slack").over(per)))
+    rows = dealt(rows, "__excess", "__slack", "__take")
+    return rows.withColumn("quota", F.greatest("__even", "__least") - F.col("__take")).drop("__share", "__min", "__least", "__size", "__even", "__raise", "__slack", "__excess", "__take")
+
+
 def match_shares(rows: DataFrame, targets: DataFrame, id_col: str = "id", seed: int = 11) -> Sample:
     """Samples of rows whose levels have the targets' shares.
 
     rows: id, pool, field, level (a key): one row for each id and field; a null level belongs to no target. targets:
     target_set, pool, field, level_name, level (null: everything else of the pool), target_share, min_rows, sample_size.
-    A level wants the larger of min_rows and target_share * sample_size to the nearest integer; one that has fewer rows
-    gives all of them, and report says so: target_set, level_name, wanted, available, taken, deficit, actual_share
-    (of the set's rows). Null shares, minima and sizes count as 0. Ids repeat only if their rows do, and are drawn
-    alike. Two levels of a set with one key share its rows. Empty tables give an empty sample; a set of an unknown pool
-    is reported with nothing available.
+    A level is to give its quota, see quotas(); one that has fewer rows gives all of them, and report says so:
+    target_set, level_name, wanted, quota, available, taken, deficit (quota - taken), actual_share (of the set's rows).
+    Taken and deficits of a set add up to its sample_size; where wanted exceeds available, the level cannot be met. Null shares, minima and sizes count as 0. Ids repeat only if
+    their rows do, and are drawn alike. Two levels of a set with one key share its rows. Empty tables give an empty
+    sample; a set of an unknown pool is reported with nothing available.
     """
-    want = F.greatest(F.coalesce("min_rows", F.lit(0)).cast("bigint"), F.floor(F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0)) + 0.5))
-    plan = written(targets.select("target_set", "pool", "field", "level_name", "level", want.alias("wanted")), "targets")
-    rows = rows.select(id_col, "pool", "field", "level")
+    plan = written(targets.select("target_set", "pool", "field", "level_name", "level", "target_share", "min_rows", "sample_size"), "targets")
+    rows = written(rows.where("level is not null").select(id_col, "pool", "field", "level"), "rows")
     small = is_small(plan)
     hint = F.broadcast if small else lambda d: d
     named = plan.where("level is not null")
     sets = plan.where("level is null").select("target_set", "pool", "field", "level_name")
-    hit = rows.where("level is not null").join(hint(named.select("target_set", "pool", "field", "level", "level_name")), ["pool", "field", "level"])
-    other = rows.where("level is not null").join(hint(sets), ["pool", "field"])
-    other = other.join(hint(named.select("target_set", "level").distinct()), ["target_set", "level"], "left_anti")
-    cols = ["target_set", "level_name", id_col]
-    pool = hit.select(*cols).unionByName(other.select(*cols)).withColumn("u", hash_unit(F.col(id_col), F.col("target_set"), seed))
-    pool = written(pool, "pool")
 
-    counts = pool.groupBy("target_set", "level_name").agg(F.count("*").alias("available"))
-    levels = plan.select("target_set", "level_name", "wanted").join(counts, ["target_set", "level_name"], "left").na.fill(0, ["available"])
-    levels = levels.withColumn("due", F.least("wanted", "available")).withColumn(
+    def matched(df: DataFrame) -> DataFrame:
+        """df's rows with the sets and levels that they belong to."""
+        hit = df.join(hint(named.select("target_set", "pool", "field", "level", "level_name")), ["pool", "field", "level"])
+        other = df.join(hint(sets), ["pool", "field"]).join(hint(named.select("target_set", "level").distinct()), ["target_set", "level"], "left_anti")
+        return hit.unionByName(other.select(*hit.columns))
+
+    # counts come from the levels' sizes: no row is matched before it is known how many are wanted
+    sizes = written(rows.groupBy("pool", "field", "level").agg(F.count("*").alias("n")), "sizes")
+    counts = matched(sizes).groupBy("target_set", "level_name").agg(F.sum("n").alias("available"))
+    levels = plan.select("target_set", "level_name", "target_share", "min_rows", "sample_size").join(counts, ["target_set", "level_name"], "left").na.fill(0, ["available"])
+    levels = quotas(levels).select("target_set", "level_name", "wanted", "quota", "available")
+    levels = levels.withColumn("due", F.least("quota", "available")).withColumn(
         "accept", F.least(F.lit(1.0), (F.col("due") + 4 * F.sqrt("due") + 10) / F.greatest("available", F.lit(1)))
     )
     levels = written(levels, "levels")
+    cols = ["target_set", "level_name", id_col]
 
     def drawn(levels: DataFrame) -> DataFrame:
-        got = pool.join(hint(levels.where("due > 0")), ["target_set", "level_name"]).where("u < accept")
+        u = hash_unit(F.col(id_col), F.col("target_set"), seed)
+        got = matched(rows).select(*cols).withColumn("u", u).join(hint(levels.where("due > 0")), ["target_set", "level_name"]).where("u < accept")
+        got = written(got, "drawn")
         return got.withColumn("range", F.floor(F.col("u") * F.ceil(F.col("available") / RANGE_ROWS)).cast("bigint"))
 
     sample = drawn(levels)
@@ -85,7 +118,7 @@ def match_shares(rows: DataFrame, targets: DataFrame, id_col: str = "id", seed:
     report = levels.join(hint(taken), ["target_set", "level_name"], "left").na.fill(0, ["taken"])
     size = F.sum("taken").over(Window.partitionBy("target_set"))
     report = report.select(
-        "target_set", "level_name", "wanted", "available", "taken", (F.col("wanted") - F.col("taken")).alias("deficit"),
+        "target_set", "level_name", "wanted", "quota", "available", "taken", (F.col("quota") - F.col("taken")).alias("deficit"),
         F.when(size > 0, F.col("taken") / size).otherwise(0.0).alias("actual_share"),
     )
     return Sample(kept, report)

@@ -61,6 +61,30 @@ def test_splits_keep_groups(spark):
     assert abs(share["train"] / 3000 - 0.5) < 0.02 and abs(share["test"] / 3000 - 0.3) < 0.02
 
 
+def test_labels_are_spread_alike(spark):
+    rng = random.Random(8)
+    rows, at = [], 0
+    for g in range(400):  # some large groups of their own mixture of labels, many small ones
+        for _ in range(rng.choice([1, 2, 5]) if g > 12 else rng.randrange(150, 400)):
+            rows.append((at, g, "abc"[min(2, int(rng.random() ** (1 + g % 3) * 3))] if rng.random() > 0.02 else None))
+            at += 1
+    groups = spark.createDataFrame([(i, g) for i, g, _ in rows], "row_id bigint, group_id bigint")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows if x is not None or i % 2], "row_id bigint, label string")
+    plan = spark.createDataFrame([("train", 0.6), ("calibration", 0.15), ("test", 0.25)], "split string, target_share double")
+    done = linking.split_groups(groups, labels, plan)
+    report = linking.split_deviation(done, labels, plan).collect()
+    assert {(r.split, r.label) for r in report} == {(s, x) for s in ("train", "calibration", "test") for x in ("a", "b", "c", None, "*")}
+    assert all(abs(r.deviation) < 0.03 for r in report if r.label is not None), report
+    assert sum(r.rows for r in report if r.label == "*") == len(rows)
+
+
+def test_many_splits_are_all_there(spark):
+    groups = spark.createDataFrame([(i, i) for i in range(9000)], "row_id bigint, group_id bigint")
+    plan = spark.createDataFrame([(f"s{i}", 1.0) for i in range(1500)], "split string, target_share double")
+    labels = spark.createDataFrame([], "row_id bigint, label string")
+    assert linking.split_groups(groups, labels, plan).select("split").distinct().count() > 1450
+
+
 def test_empty(spark):
     empty = table(spark, [(1, "a", "b")]).limit(0)
     plan = spark.createDataFrame([("train", 1.0)], "split string, target_share double")
