@@ -76,9 +76,16 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_anchors"))
 
 
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rounds, residue, words): how the levels came to rest."""
+    r = reading.read(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_anchors"))
+    return spark.createDataFrame([(r.rounds, r.residue, r.words)], "rounds int, residue double, words bigint")
+
+
 QUERIES = {
     "p8_found": p8_found,
     "p8_levels": p8_levels,
+    "p8_report": p8_report,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p2_found": p2_found,

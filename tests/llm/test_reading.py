@@ -1,3 +1,8 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from probelake.llm import reading
 from probelake.llm.prose import message_of, prose_words
@@ -39,6 +44,45 @@ def test_both_ways_agree(documents, anchors):
     assert a == b
 
 
+@pytest.mark.parametrize("most_words", [10**6, 0])
+def test_levels_are_at_rest(spark, documents, anchors, most_words):
+    rng = random.Random(6)
+    words = EASY.split() + HARD.split() + MEDIUM.split() + [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]
+    docs = spark.createDataFrame([(i, git(" ".join(rng.choice(words[max(0, i - 15) : i + 15]) for _ in range(12)))) for i in range(90)], "doc_id bigint, text string")
+    sets = [set(r.words) for r in reading.word_sets(docs, "doc_id", "text", []).orderBy("doc_id").collect()]
+    graded = [(lv, set(prose_words(t.split("\n")))) for lv, t in ((0.0, EASY), (0.5, MEDIUM), (1.0, HARD))]
+    df = Counter(w for s in [*sets, *(g for _, g in graded)] for w in s)
+    names = [w for w in df if df[w] > 1]
+    at, weight = {w: i for i, w in enumerate(names)}, {w: math.log(1 + (len(sets) + 3) / df[w]) for w in names}
+    a, b = np.zeros((len(names), len(names))), np.zeros(len(names))
+    hits, count, fixed = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
+    for s in sets:
+        mine = [w for w in s if w in at]
+        total = sum(weight[w] for w in mine)
+        for w in mine:
+            hits[at[w]] += 1
+            for v in mine:
+                a[at[w], at[v]] += weight[v] / total
+    for lv, s in graded:
+        for w in s & set(names):
+            count[at[w]] += 1
+            fixed[at[w]] += lv
+    hold = np.where(count > 0, np.maximum(count, reading.GRIP * hits) / np.maximum(count, 1), 0)
+    down = hits * (1 + reading.GROUND) + hold * count
+    x = np.linalg.solve(np.eye(len(names)) - a / down[:, None], (hold * fixed + reading.GROUND * reading.MIDDLE * hits) / down)
+    r = reading.read(docs, anchors, still=1e-5, most_words=most_words)
+    assert r.rounds > 5 and r.residue <= 1e-5
+    for got in r.levels.collect():
+        mine = [w for w in sets[got.doc_id] if w in at]
+        want = sum(weight[w] * x[at[w]] for w in mine) / sum(weight[w] for w in mine)
+        assert abs(got.level - want) <= 1e-5
+
+
+def test_levels_that_do_not_rest_raise(documents, anchors):
+    with pytest.raises(RuntimeError):
+        reading.read(documents, anchors, rounds=2, still=1e-9)
+
+
 def test_found(documents, anchors):
     got = [(r.doc_id, r.band) for r in reading.commit_bands(documents, anchors).collect()]
     assert sorted(got) == [(0, "easy"), (0, "easy"), (1, "hard"), (2, "medium")]
