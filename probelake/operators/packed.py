@@ -1,8 +1,10 @@
 """Several values packed in one field: one row per value, with its place in the field.
 
 A finite-state tokenizer walks the field once. Its state is (open quote, bracket depth); a separator counts only
-outside quotes and at depth 0. Runs of ordinary characters are skipped by one compiled pattern, so the walk takes a
-step per special character and not per character.
+outside quotes and at depth 0, and a bracket only outside quotes and escapes. Runs of ordinary characters are skipped by
+compiled patterns, so the walk takes a step per special character and not per character. Inside a quote the way on
+depends on the place alone, so places from which no quote closes are remembered and never walked again; brackets are
+matched by one walk with a stack. The work thus grows with the length of the field, whatever it holds.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ _SPACE = " \t\n\r\f\v\u00a0" + _INVISIBLE
 _PLAIN = re.compile(r"[^,;|\n\r\t，；、｜/\\\"'“„‘«「(（]+")
 _SIMPLE = re.compile(r"[,;|\n\r\t，；、｜]|(?<=\s)/|/(?=\s)")
 _HARD = re.compile(r"[\\\"'“„‘«「(（\[{]")
+_CLOSING = frozenset(ROUND.values())
+_INNER = re.compile(r"[^,;|\n\r\t，；、｜/\\\"'“„‘«「(（)）]+")
+_LISTED = re.compile(r"[\[\]{}]")
+#: What matters inside a quote: what closes it, and escapes.
+_MARKS = {close: re.compile(f"[{close}\\\\]") for close in QUOTES.values()}
 _HEX = re.compile(r"u([0-9a-fA-F]{4})")
 
 
@@ -53,68 +60,112 @@ def _escaped(s: str, i: int) -> tuple[str, int]:
     return s[i + 1], i + 2
 
 
-def _ends(s: str, i: int) -> bool:
-    """Whether a value can end at i: at the end, or with a separator next, spaces aside."""
-    n = len(s)
-    while i < n and s[i] in _SPACE:
-        if s[i] in SEPARATORS:
-            return True
-        i += 1
-    return i == n or s[i] in SEPARATORS or (s[i] == "/" and (s[i - 1].isspace() or s[i + 1 : i + 2].isspace() or i + 1 == n))
+class _Field:
+    """The quotes and round brackets of one field."""
 
+    def __init__(self, s: str):
+        self.s = s
+        self.dead: dict[tuple[str, bool], set[int]] = {}
+        self._brackets: dict[int, int] | None = None
 
-def _quoted(s: str, i: int) -> tuple[str, int] | None:
-    """The value quoted from s[i] on and the place after its closing quote; None if no quote closes it."""
-    close, out, i, n = QUOTES[s[i]], [], i + 1, len(s)
-    while i < n:
-        c = s[i]
-        if c == "\\":
-            if s[i + 1 : i + 2] in ESCAPES:
-                out.append(ESCAPES[s[i + 1]])
-                i += 2
-            else:
-                got, i = _escaped(s, i)
-                out.append(got)
-        elif c == close:
-            if s[i + 1 : i + 2] == close:
+    def slash_splits(self, i: int) -> bool:
+        """Whether a slash at i stands beside a space or at the end."""
+        s = self.s
+        return (i > 0 and s[i - 1].isspace()) or i + 1 == len(s) or s[i + 1].isspace()
+
+    def ends(self, i: int, inside: bool) -> bool:
+        """Whether a value can end at i: at the end, or with a separator next, spaces aside; inside round brackets also where they close."""
+        s, n = self.s, len(self.s)
+        while i < n and s[i] in _SPACE:
+            if s[i] in SEPARATORS:
+                return True
+            i += 1
+        return i == n or s[i] in SEPARATORS or (inside and s[i] in _CLOSING) or (s[i] == "/" and self.slash_splits(i))
+
+    def quoted(self, i: int, inside: bool = False) -> tuple[str, int] | None:
+        """The value quoted from i on and the place after its closing quote; None if no quote closes it."""
+        s, n = self.s, len(self.s)
+        close, out, i = QUOTES[s[i]], [], i + 1
+        mark = _MARKS[close]
+        dead, walked = self.dead.setdefault((close, inside), set()), []
+        while m := mark.search(s, i):
+            at = m.start()
+            if at in dead:
+                break
+            walked.append(at)
+            if at > i:
+                out.append(s[i:at])
+            if s[at] == "\\":
+                if s[at + 1 : at + 2] in ESCAPES:
+                    out.append(ESCAPES[s[at + 1]])
+                    i = at + 2
+                else:
+                    got, i = _escaped(s, at)
+                    out.append(got)
+            elif s[at + 1 : at + 2] == close:
                 out.append(close)
-                i += 2
-            elif _ends(s, i + 1):
-                return "".join(out), i + 1
+                i = at + 2
+            elif self.ends(at + 1, inside):
+                return "".join(out), at + 1
             else:
-                out.append(c)
-                i += 1
-        else:
-            out.append(c)
-            i += 1
-    return None
+                out.append(close)
+                i = at + 1
+        dead.update(walked)
+        return None
 
+    def rounded(self, i: int) -> int | None:
+        """The place after the bracket that closes the one at i; None if none does."""
+        if self._brackets is None:
+            self._brackets = self._matched()
+        return self._brackets.get(i)
 
-def _rounded(s: str, i: int) -> int | None:
-    """The place after the bracket that closes the one at s[i]; None if none does."""
-    depth, close = 0, ROUND[s[i]]
-    for j in range(i, len(s)):
-        if s[j] == s[i]:
-            depth += 1
-        elif s[j] == close:
-            depth -= 1
-            if not depth:
-                return j + 1
-    return None
+    def _matched(self) -> dict[int, int]:
+        s, n, i, fresh = self.s, len(self.s), 0, True
+        ends: dict[int, int] = {}
+        open_: dict[str, list[int]] = {c: [] for c in ROUND.values()}
+        deep = 0
+        while i < n:
+            if m := _INNER.match(s, i):
+                fresh = fresh and not m[0].strip(_SPACE)
+                i = m.end()
+                continue
+            c = s[i]
+            if c == "\\":
+                fresh, i = False, i + 2
+            elif c in ROUND:
+                open_[ROUND[c]].append(i)
+                deep, fresh, i = deep + 1, True, i + 1
+            elif c in _CLOSING:
+                if open_[c]:
+                    ends[open_[c].pop()] = i + 1
+                    deep -= 1
+                fresh, i = False, i + 1
+            elif fresh and c in QUOTES and (got := self.quoted(i, deep > 0)):
+                fresh, i = False, got[1]
+            else:
+                fresh, i = c in SEPARATORS or (c == "/" and self.slash_splits(i)), i + 1
+        return ends
 
 
 def _unlisted(s: str) -> str:
     """s without list brackets that stand around the whole of it."""
-    while len(s) > 1 and LISTS.get(s[0]) == s[-1]:
-        depth = 0
-        for j, c in enumerate(s):
-            depth += (c == s[0]) - (c == s[-1])
-            if not depth:
-                break
-        if j < len(s) - 1:
-            return s
-        s = _trim(s[1:-1])
-    return s
+    if len(s) < 2 or LISTS.get(s[0]) != s[-1]:
+        return s
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {c: [] for c in LISTS.values()}
+    for m in _LISTED.finditer(s):
+        if m[0] in LISTS:
+            open_[LISTS[m[0]]].append(m.start())
+        elif open_[m[0]]:
+            ends[open_[m[0]].pop()] = m.start()
+    a, b = 0, len(s)
+    while b - a > 1 and LISTS.get(s[a]) == s[b - 1] and ends.get(a) == b - 1:
+        a, b = a + 1, b - 1
+        while a < b and (s[a].isspace() or s[a] in _SPACE):
+            a += 1
+        while a < b and (s[b - 1].isspace() or s[b - 1] in _SPACE):
+            b -= 1
+    return s[a:b]
 
 
 def split_packed(field: str | None) -> list[str]:
@@ -128,6 +179,7 @@ def split_packed(field: str | None) -> list[str]:
     if not _HARD.search(field):
         return [v for x in _SIMPLE.split(field) if (v := _trim(x))]
     s = _unlisted(_trim(field))
+    quotes = _Field(s)
     values: list[str] = []
     out: list[str] = []
     i, n, fresh = 0, len(s), True
@@ -150,7 +202,7 @@ def split_packed(field: str | None) -> list[str]:
             close()
             fresh, i = True, i + 1
         elif c == "/":
-            if (i and s[i - 1].isspace()) or i + 1 == n or s[i + 1].isspace():
+            if quotes.slash_splits(i):
                 close()
                 fresh, i = True, i + 1
             else:
@@ -160,10 +212,10 @@ def split_packed(field: str | None) -> list[str]:
             got, i = _escaped(s, i)
             out.append(got)
             fresh = False
-        elif c in ROUND and (end := _rounded(s, i)):
+        elif c in ROUND and (end := quotes.rounded(i)):
             out.append(s[i:end])
             fresh, i = False, end
-        elif fresh and c in QUOTES and (got := _quoted(s, i)):
+        elif fresh and c in QUOTES and (got := quotes.quoted(i)):
             out.append(got[0])
             fresh, i = False, got[1]
         else:

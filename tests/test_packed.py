@@ -3,6 +3,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -65,3 +66,18 @@ def test_each_row_id_once(spark):
     s = spark.createDataFrame([(1, "a, b", None), (1, "a, b", None), (2, "c", None)], "row_id bigint, correct_object_2 string, ingested_at timestamp")
     w = spark.createDataFrame([(3, "x | y", None)], s.schema)
     assert sorted((r.row_id, r.pos, r.item) for r in packed_found(s, w).collect()) == [(1, 1, "a"), (1, 2, "b"), (3, 1, "x"), (3, 2, "y")]
+
+
+def test_quotes_and_escapes_within_brackets():
+    assert split_packed("(a, 'b) c', d), e") == ["(a, 'b) c', d)", "e"]
+    assert split_packed("x (it's, fine), y") == ["x (it's, fine)", "y"]
+    assert split_packed("a (b\\), c), d") == ["a (b\\), c)", "d"]
+    assert split_packed("a (b (c, d), e; f") == ["a (b (c, d)", "e", "f"]
+    assert split_packed("[[a, b]]") == ["a", "b"] and split_packed("{{}, x") == ["{{}", "x"]
+
+
+@pytest.mark.parametrize("field", ['"a,' * 340_000, "(" * 8000 + "a,b", "[" * 5000 + "a,b" + "]" * 5000, '"a,' * 200_000 + '""', "('a," * 100_000, "'" * 300_000 + ",b"])
+def test_work_grows_with_the_length(field):
+    began = time.perf_counter()
+    assert len(split_packed(field)) >= 1
+    assert time.perf_counter() - began < 8
