@@ -3,7 +3,9 @@
 Level l holds a node with probability fanout ** -l. Each level is one int32 array (nodes of the level x degree, -1 where
 empty). Levels are built from the top: a level starts with an exact graph over its first nodes and takes the others in
 batches; a batch is searched in the graph so far, a few expansions of all its members at a time, and linked both ways
-with the usual pruning that keeps links in different directions.
+with the usual pruning that keeps links in different directions. Upper levels of up to EXACT nodes are not built: one
+product with all of their nodes finds the entry as well, so a shard of some thousand vectors has one or two levels, and
+one of a million four.
 """
 
 from __future__ import annotations

@@ -1,10 +1,12 @@
 """The k most similar vectors of every vector, by navigable small-world graphs per shard.
 
 Equal vectors are put together first and searched once. Each layer is cut into cells around centres that are fitted on
-a bounded sample; every vector is a member of its nearest cell and is asked against its `probes` nearest cells. A cell
-of more than 2 * shard_rows members (a crowded direction) is dealt out to several shards by hash, and a query of the
-cell asks all of them. One shuffle brings members and queries of a shard together; a task builds the shard's graph,
-asks it, and drops it. The shards' answers are merged per vector, and equal vectors are put back.
+a bounded sample; every vector is a member of its nearest cell and is asked against the cells whose centres are hardly
+farther off: within `reach` of the nearest one's angle, `probes` at most. A cell of more than 2 * shard_rows members (a
+crowded direction, or a layer of very many vectors) is cut once more around centres of its own, of which a query asks
+SUB_PROBES at most, so the shards a vector is asked against do not grow with the table. Range partitions of the shards,
+of about as many vectors each, bring members and queries together; a task builds a shard's graph, asks it, and drops
+it. The shards' answers are merged per vector, and equal vectors are put back.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelake.session import written
+from probelake.session import BROADCAST_ROWS, written
 
-#: Members of a shard as a rule, cells of a layer at most, and rows of a layer the centres are fitted on at most.
+#: Members of a shard as a rule, cells of a layer and of a cell at most, and vectors of a layer or cell the centres are fitted on at most.
 SHARD_ROWS, MOST_CELLS, SAMPLE_ROWS = 6000, 4096, 16_384
-PROBES, EF = 3, 40
+#: Cells a vector is asked against at most, by how much their angle may exceed the nearest one's, and the parts of a cell it is asked against.
+PROBES, REACH, SUB_PROBES, EF = 6, 0.1, 3, 24
+#: Partitions of shards at most; a partition may hold several.
+MOST_PARTITIONS = 20_000
 
 
 def usable(vec: Column, dim: int) -> Column:
@@ -54,8 +59,17 @@ def fit_centres(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np
     return centres
 
 
-def _route(vectors: DataFrame, centres: dict[int, np.ndarray], dim: int, probes: int) -> DataFrame:
-    """(id, layer, vec, cells): the nearest cells of each vector, nearest first."""
+def _near(x: np.ndarray, centres: np.ndarray, probes: int, reach: float) -> list[list[int]]:
+    """For each row of x the centres within `reach` of its nearest one's angle, nearest first, probes at most."""
+    sims = x @ centres.T
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
+    angles = np.arccos(np.clip(np.take_along_axis(sims, best, 1), -1, 1))
+    many = (angles <= angles[:, :1] + reach).sum(1)
+    return [row[:n] for row, n in zip(best.tolist(), many.tolist())]
+
+
+def _route(vectors: DataFrame, centres: dict[int, np.ndarray], dim: int, probes: int, reach: float) -> DataFrame:
+    """(id, layer, vec, cells): the cells each vector is asked against, nearest first."""
     schema = T.StructType([*vectors.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,15 +79,54 @@ def _route(vectors: DataFrame, centres: dict[int, np.ndarray], dim: int, probes:
             cells: list[list[int]] = [[]] * len(layers)
             for layer in np.unique(layers):
                 at = np.flatnonzero(layers == layer)
-                sims = x[at] @ centres[int(layer)].T
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
-                for i, row in zip(at, best.tolist()):
+                for i, row in zip(at, _near(x[at], centres[int(layer)], probes, reach)):
                     cells[i] = row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
     return vectors.mapInArrow(run, schema)
 
 
+def _parts_of_cells(routed: DataFrame, big: DataFrame, dim: int, shard_rows: int) -> DataFrame:
+    """(layer, cell, centres): of each cell of big (layer, cell, n) the centres of its parts, each fitted in a task on at most SAMPLE_ROWS of the cell's members."""
+    u = F.shiftrightunsigned(F.xxhash64("id", F.lit(4)), 11) / float(1 << 53)
+    members = routed.select("id", "layer", F.col("cells")[0].alias("cell"), "vec").join(F.broadcast(big), ["layer", "cell"])
+    drawn = members.where(u < SAMPLE_ROWS / F.col("n")).select("layer", "cell", "n", "id", "vec")
+
+    def fit(cell: pa.Table) -> pa.Table:
+        order = np.argsort(cell["id"].to_numpy())[:SAMPLE_ROWS]
+        parts = max(1, min(-(-cell["n"][0].as_py() // shard_rows), MOST_CELLS, len(order) // 4))
+        got = fit_centres(_unit(_matrix(cell["vec"], dim))[order], parts)
+        return pa.table({"layer": cell["layer"][:1], "cell": cell["cell"][:1], "centres": pa.array([got.astype(np.float32).tolist()], pa.list_(pa.list_(pa.float32())))})
+
+    return drawn.groupBy("layer", "cell").applyInArrow(fit, "layer int, cell int, centres array<array<float>>")
+
+
+def _route_parts(asked: DataFrame, parts: DataFrame, dim: int, reach: float) -> DataFrame:
+    """asked (layer, cell, id, vec, p) with part, the parts of the cell a vector is asked against, and member; cells without parts are one part."""
+    rows = asked.join(parts, ["layer", "cell"], "left")
+    schema = T.StructType([*asked.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("member", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unit(_matrix(batch.column(3), dim)).astype(np.float32)
+            whole = batch.column(5).is_null().to_numpy(zero_copy_only=False)
+            p = batch.column(4).to_numpy(zero_copy_only=False)
+            keys = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], 1)
+            found: list[list[int]] = [[0]] * len(x)
+            there = np.flatnonzero(~whole)
+            for key in np.unique(keys[there], axis=0) if len(there) else ():
+                at = there[(keys[there] == key).all(1)]
+                centres = np.asarray(batch.column(5)[int(at[0])].as_py(), np.float32)
+                for i, row in zip(at, _near(x[at], centres, SUB_PROBES, reach)):
+                    found[i] = row
+            index = np.repeat(np.arange(len(x)), [len(f) for f in found])
+            part = np.array([c for f in found for c in f], np.int32)
+            first = np.concatenate([[True], index[1:] != index[:-1]]) if len(index) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(index)) for i in range(5)), pa.array(part), pa.array(first & (p[index] == 0))], [f.name for f in schema.fields])
+
+    return rows.mapInArrow(run, schema)
+
+
 def _search(dim: int, k: int, ef: int):
     """The work on one shard: rows (id, vec, member) to (id, found: the k nearest members by similarity)."""
 
@@ -118,6 +171,7 @@ def nearest(
     dim: int = 64,
     shard_rows: int = SHARD_ROWS,
     probes: int = PROBES,
+    reach: float = REACH,
     ef: int = EF,
 ) -> DataFrame:
     """(id, near: array of (sim, to), most similar first) of every usable vector: its k most similar ones of its layer.
@@ -125,8 +179,8 @@ def nearest(
     Usable: not null, dim numbers, all finite, not all zero. Each id counts once (repeated rows repeat their vector),
     rows of a null id do not count, rows of a null layer are a layer of their own. The vector itself is not among
     them, equal vectors under another id are; ties go to the smaller id. A layer of one vector gives an empty array;
-    an empty table gives an empty result. The centres are fitted on at most SAMPLE_ROWS vectors a layer; every vector
-    is indexed.
+    an empty table gives an empty result. The centres are fitted on at most SAMPLE_ROWS vectors a layer or cell; every
+    vector is indexed.
     """
     layer = F.coalesce(F.col(layer_col).cast("int"), F.lit(-(2**31))) if layer_col else F.lit(0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), layer.alias("layer"), F.col(vec_col).cast("array<float>").alias("vec")).where("id is not null").where(usable(F.col("vec"), dim))
@@ -148,18 +202,21 @@ def nearest(
         drawn = leads.where((F.col("layer") == at) & (u < share)).select("vec").limit(SAMPLE_ROWS).toArrow() if cells > 1 else None
         centres[at] = fit_centres(_unit(_matrix(drawn["vec"], dim)), cells).astype(np.float32) if drawn is not None and drawn.num_rows else np.ones((1, dim), np.float32)
 
-    routed = written(_route(leads, centres, dim, probes), "routed")
-    size = {(r.layer, r.cell): r.n for r in routed.groupBy("layer", F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n")).collect()}
-    deals = [(lay, cell, -(-n // (2 * shard_rows))) for (lay, cell), n in size.items()]  # one row a cell: MOST_CELLS a layer at most
-    deal = df.sparkSession.createDataFrame(deals, "layer int, cell int, deals int")
-    asked = routed.select("id", "layer", "vec", F.posexplode("cells").alias("p", "cell")).join(F.broadcast(deal), ["layer", "cell"])
-    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("deals")).cast("int")
-    asked = asked.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
-    asked = asked.select("layer", "cell", "part", "id", "vec", ((F.col("p") == 0) & (F.col("own") == F.col("part"))).alias("member"))
-    shards = max(1, sum(d for *_, d in deals))
-    spread = asked.repartition(min(4096, max(shards, 1)), "layer", "cell", "part")
+    routed = written(_route(leads, centres, dim, probes, reach), "routed")
+    size = routed.groupBy("layer", F.col("cells")[0].alias("cell")).agg(F.count("*").alias("n")).collect()  # one row a cell: MOST_CELLS a layer at most
+    asked = routed.select("layer", F.posexplode("cells").alias("p", "cell"), "id", "vec").select("layer", "cell", "id", "vec", "p")
+    crowded = [(r.layer, r.cell, r.n) for r in size if r.n > 2 * shard_rows]
+    if crowded:
+        big = df.sparkSession.createDataFrame(crowded, "layer int, cell int, n bigint")
+        parts = written(_parts_of_cells(routed, big, dim, shard_rows), "parts")
+        centre_rows = parts.agg(F.sum(F.size("centres")).alias("n")).first().n or 0
+        asked = _route_parts(asked, F.broadcast(parts) if centre_rows <= BROADCAST_ROWS else parts, dim, reach).drop("p")
+    else:
+        asked = asked.withColumn("part", F.lit(0)).withColumn("member", F.col("p") == 0).drop("p")
+    shards = sum(-(-r.n // shard_rows) for r in size)
+    spread = asked.repartitionByRange(min(MOST_PARTITIONS, max(shards, 1)), "layer", "cell", "part")
     answers = spread.groupBy("layer", "cell", "part").applyInArrow(_search(dim, k, ef), "id bigint, found array<struct<sim:double,to:bigint>>")
-    best = answers.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("found"))  # at most probes * deals short lists
+    best = answers.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("found"))  # at most probes * SUB_PROBES short lists
     order = lambda a, b: F.when(a["sim"] != b["sim"], F.when(a["sim"] > b["sim"], -1).otherwise(1)).when(a["to"] < b["to"], -1).when(a["to"] > b["to"], 1).otherwise(0)
     best = written(best.select("id", F.slice(F.array_sort(F.array_distinct("found"), order), 1, k).alias("found")), "answers")
 

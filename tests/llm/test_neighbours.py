@@ -45,6 +45,21 @@ def test_against_brute_force(spark, rows):
     assert all(p.vec_id_a < p.vec_id_b for p in pairs) and len(pairs) == len(set(pairs))
 
 
+def test_crowded_cells_are_cut_again(spark, rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 3)  # three cells a layer, three parts a cell: beyond one level of cells
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 5)
+    got = {r.id: [n.to for n in r.near] for r in neighbours.nearest(df, dim=8, shard_rows=60).collect()}
+    assert got.keys() == want.keys()
+    assert sum(len(set(got[i]) & {a for a, _ in want[i]}) for i in want) >= 0.9 * sum(len(x) for x in want.values())
+
+
+def test_cells_within_reach_of_the_nearest():
+    centres = np.array([[1, 0], [np.cos(0.3), np.sin(0.3)], [np.cos(0.5), np.sin(0.5)], [0, 1]])
+    x = np.array([[1, 0], [np.cos(0.2), np.sin(0.2)], [0, 1]])
+    assert neighbours._near(x, centres, 4, 0.15) == [[0], [1, 0], [3]] and neighbours._near(x, centres, 1, 9.0) == [[0], [1], [3]]
+
+
 def test_small_and_empty(spark):
     one = spark.createDataFrame([(1, None, [1.0, 0.0], "", ""), (2, 3, [1.0, 0.0], "", "")], SCHEMA)
     assert {r.id: r.near for r in neighbours.nearest(one, dim=2).collect()} == {1: [], 2: []}
