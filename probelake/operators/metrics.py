@@ -254,6 +254,24 @@ def bootstrap(df: DataFrame, cols: list[str], metric: str | Metric, group: list[
     return whole.join(spread, group) if group else whole.crossJoin(spread)
 
 
+def intervals(df: DataFrame, cols: list[str], names: dict[str, str | Metric], group: list[str], replicates: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(group, names): each metric of names (column to a name of METRICS or a callable) as [value, lower, upper], all over the same resamples; the fallback where one cannot be computed."""
+    rows = df
+    for c in cols:
+        rows = rows.where(F.col(c).isNotNull())
+    cells = written(rows.groupBy(*group, *cols).agg(F.count("*").alias("n")), "cells")
+    drawn = written(resampled(cells, cols, group, replicates, seed, False), "resamples")
+    out = cells.select(*group).distinct()
+    for name, metric in names.items():
+        measure = METRICS[metric] if isinstance(metric, str) else metric
+        ends = [F.percentile("value", F.lit(q)).alias(c) for q, c in ((alpha / 2, "lower"), (1 - alpha / 2, "upper"))]
+        spread = measure(drawn, cols, "times", [*group, "resample"]).groupBy(*group).agg(*ends)
+        whole = measure(cells, cols, "n", group).select(*group, "value")
+        out = out.join(whole.join(spread, group).select(*group, safe(F.col("value"), F.col("lower"), F.col("upper")).alias(name)), group, "left")
+        out = out.withColumn(name, F.coalesce(name, F.array(*[F.lit(x) for x in FALLBACK])))
+    return out
+
+
 def _poisson(rng: np.random.Generator, rows: int, replicates: int) -> np.ndarray:
     return rng.poisson(1.0, (rows, replicates)).astype(np.int64)
 

@@ -12,7 +12,9 @@ from probelake.functions.text import plain
 from probelake.operators import bags, conformal, features, labels, meandiff, metrics, registry, splits, svm
 from probelake.operators.ranks import ranked, running_sum
 from probelake.operators.scaling import gram_matrix, vector_stats
+from probelake.plans import multiclass
 from probelake.plans.probe import ProbeSpec, artefacts, run
+from probelake.plans.reader import ProbeReader
 from probelake.sources import files
 
 
@@ -220,6 +222,43 @@ def test_multiple_instance_probe_finds_the_instances():
     assert svm.average_precision_of(np.array(y), top) > 0.95 and w[0] > 0.8
 
 
+def test_bias_counts_by_the_parameter_as_given():
+    x, y = np.array([[1.0, 0], [2.0, 0], [-1.0, 0], [-4.0, 0]]), np.array([1.0, 1, -1, -1])
+    a = np.array([0.25, 0.1, 0.25, 0.1])  # 0.25 is a scaled bound of C = 1 over four rows
+    w, b = svm.line_of(x, y, a, 1.0)
+    assert w[0] == 1 and b == pytest.approx(((1 - 1.5) + (-1 + 2.5)) / 2)  # all four are below C
+    assert svm.line_of(x, y, a, 0.25)[1] == pytest.approx(((1 - 2.0) + (-1 + 4.0)) / 2)  # only those below the bound
+
+
+def test_sparse_stage_takes_negative_instances_one_by_one(monkeypatch):
+    seen = []
+    real = svm.solve_dual
+    monkeypatch.setattr(svm, "solve_dual", lambda k, y, c, target=None, **kw: seen.append((y, c, target)) or real(k, y, c, target, **kw))
+    bags_ = [np.array([[2.0, 0], [0.0, 0], [1.0, 0]]), np.array([[-1.0, 0], [-2.0, 1]]), np.array([[3.0, 1]]), np.array([[-3.0, 0]])]
+    svm.fit_sawmil(bags_, np.array([1.0, -1, 1, -1]), [np.ones(len(b)) for b in bags_], 6.0, 0.5)
+    y, c, target = seen[0]
+    assert y.tolist() == [-1, -1, -1, 1, 1] and c.tolist() == [2, 2, 2, 3, 3] and target.tolist() == [1, 1, 1, pytest.approx(2 / 3 - 1), 1]
+
+
+def test_kernels():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 2))
+    ring = np.where((x * x).sum(1) > 1.2, 1.0, -1.0)
+    for kernel, p in (("rbf", 1.0), ("quadratic", 2.0), ("polynomial", 2.0)):
+        m = svm.fit_kernel(x, ring, 10.0, kernel, p, scale_c=False)
+        assert (np.sign(m.decide(x)) == ring).mean() > 0.93
+    line = np.sign(x[:, 0] + 0.01)
+    m = svm.fit_kernel(x, line, 1.0, scale_c=False)
+    w, b = svm.fit_linear(x, line, 1.0, scale_c=False)
+    got = m.decide(np.array([[1.0, 0], [0, 1.0], [0, 0]]))
+    full = np.array([got[0] - got[2], got[1] - got[2]])
+    assert np.allclose(full / np.linalg.norm(full), w)
+    av = svm.fit_kernel([np.stack([v, v]) for v in x], line, 1.0, "linear_av", scale_c=False)
+    assert np.allclose(av.decide(x), m.decide(x))
+    with pytest.raises(ValueError):
+        svm.fit_kernel(x, line, 1.0, "cubic")
+
+
 def test_features(spark):
     rng = np.random.default_rng(6)
     rows = [(i, i % 2, [float(i % 2 + 0.1 * rng.normal()), float(rng.normal()), float(rng.normal())]) for i in range(300)]
@@ -259,9 +298,58 @@ def test_probe_life(spark, tmp_path):
         for r in m:
             assert r.conformal_wmcc == pytest.approx(r.conformal_mcc * r.conformal_n / r.n)
     files.write_probes(artefacts(out), str(tmp_path / "probes"))
+    reader = ProbeReader.of(spark, str(tmp_path / "probes"), out.spec.name, out.calibration)
+    assert reader.layers() == [0, 1] and reader.best_layer("mcc") in (0, 1)
+    again = {r.id: r.score for r in reader.predict(df.where("split = 'test'")).collect()}
+    assert again == {r.id: pytest.approx(r.score) for r in out.predicted.collect()}
+    bagged = {r.bag: r.score for r in reader.predict_with_bag(df.where("split = 'test' and layer = 0").withColumn("bag", F.floor(F.col("id") / 10))).collect()}
+    assert all(v == pytest.approx(max(s for i, s in again.items() if i // 10 == b and i % 2 == 0)) for b, v in bagged.items())
+    p = {r.id: (r.p_0, r.p_1, r.prediction) for r in reader.p_values(out.predicted.select("id", "layer", "y", "score")).collect()}
+    assert p == {r.id: (pytest.approx(r.p_0), pytest.approx(r.p_1), r.prediction) for r in out.predicted.collect()}
+    old = ProbeReader(reader.table.withColumnRenamed("direction", "coef").drop("mu", "sd"))
+    assert old.probes().where("direction is null").count() == 0 and old.predict(df).count() == df.count()
     assert {r.layer for r in files.layers_in(spark, str(tmp_path / "probes")).collect()} == {0, 1}
 
 
+def test_bag_probe_life(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(180):
+        y = (i // 6) % 2
+        for pos in range(4):
+            rows.append((i, pos, i % 2, ["train", "calibration", "test"][i % 3], y, 1, (rng.normal(size=4) * 0.6 + (2.0 * y if pos == 3 else 0.0)).tolist()))
+    df = spark.createDataFrame(rows, "id bigint, pos int, layer int, split string, correct int, real_object int, vec array<double>")
+    for grid in ((), (0.5, 5.0)):
+        out = run(df, ProbeSpec(probe="sawmil", c=5.0, grid=grid, replicates=30))
+        assert out.predicted.count() == 60
+        for r in out.metrics.collect():
+            assert r.map > 0.8 and r.mcc_ci[1] <= r.mcc_ci[0] <= r.mcc_ci[2] and r.mcc_ci[0] == pytest.approx(r.mcc)
+            assert r.conformal_wmcc_ci[0] == pytest.approx(r.conformal_wmcc) and len(r.conformal_ami_ci) == 3
+    with pytest.raises(ValueError):
+        run(df.drop("pos"), ProbeSpec(probe="sawmil"))
+    with pytest.raises(ValueError):
+        ProbeSpec(probe="tree")
+
+
+@pytest.mark.parametrize(("agg", "probe"), [("last", "mean_diff"), ("all", "sawmil")])
+def test_three_class_life(spark, agg, probe):
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(240):
+        y = i % 3
+        shift = np.eye(3)[y] * 3
+        for pos in range(3):
+            rows.append((i, pos, (rng.normal(size=3) * 0.5 + (shift if pos == 2 else 0)).tolist(), None if i % 40 == 0 else y, ["train", "calibration", "test"][(i // 3) % 3]))
+    df = spark.createDataFrame(rows, "id bigint, pos int, vec array<double>, y int, split string")
+    out = multiclass.run(df, ProbeSpec(probe=probe, c=5.0), agg)
+    got = out.predicted.collect()
+    sure = [r for r in got if r.prediction >= 0]
+    assert len(got) == len({r.id for r in got}) and sum(r.prediction == r.y for r in sure) >= 0.85 * len(sure) > 0
+    assert all(abs(sum(r.score) - 1) < 1e-6 for r in got)
+    with pytest.raises(ValueError):
+        multiclass.run(df, agg="first")
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "checked.csv").write_bytes("﻿Name,Keep,Notes\r\n\"Guates, OK\",1,x\r\nNo,0,\r\nBlank,,\r\n".encode())
     assert [r.name for r in files.read_checked(spark, str(tmp_path / "checked.csv")).collect()] == ["Guates, OK"]
