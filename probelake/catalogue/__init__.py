@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package with QUERIES (name to query) and SQL (name to text).
-FAMILIES = ("core_data", "probing", "language", "models", "flows")
+FAMILIES = ("core_data", "probing", "language", "models", "flows", "records")
 
 
 def queries() -> dict[str, Query]:

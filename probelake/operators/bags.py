@@ -76,6 +76,26 @@ def splitter_counts(df: DataFrame, y: str = "y", bag: str = "bag") -> DataFrame:
     )
 
 
+def bags_of(df: DataFrame, split: str, bag: str = "bag", pos: str = "pos", vec: str = "vec", y: str = "y", drop_zeros: bool = True) -> DataFrame:
+    """(bag, items, y, last): the bags of a split, their tokens in order, their label, and the last token's vector."""
+    rows = df.where(F.col("split") == split)
+    rows = drop_zero(rows, vec, "attn" if "attn" in df.columns else None) if drop_zeros else rows
+    labels = rows.groupBy(bag).agg(F.max(y).alias(y), F.max_by(vec, pos).alias("last"))
+    return nested(rows, bag, pos, vec).join(labels, bag).select(bag, "items", y, "last")
+
+
+def labelled_of(df: DataFrame, split: str, bag: str = "bag", pos: str = "pos", vec: str = "vec", y: str = "y") -> DataFrame:
+    """(bag, pos, vec, y): the last token of each bag of a split, with the bag's label."""
+    return last_of(df.where(F.col("split") == split), bag, pos, vec, y)
+
+
+def stacked(df: DataFrame, bag: str = "bag", pos: str = "pos", y: str = "y") -> DataFrame:
+    """df with place: all instances under one another, those of negative bags first, bags and tokens in order; each may count as a bag of its own."""
+    from probelake.operators.ranks import ranked
+
+    return ranked(df.withColumn("__side", (F.col(y) == 1).cast("int")), ["__side", bag, pos], "place").drop("__side")
+
+
 def max_score(df: DataFrame, score: str = "score", bag: str = "bag") -> DataFrame:
     """(bag, score): the largest of the bag's scores."""
     return df.groupBy(bag).agg(F.max(score).alias(score))

@@ -96,6 +96,27 @@ def generate(kv: DataFrame, kind: str = "city", fake: bool = False, seed: int =
     return rows.select(template(kind, F.col("key"), F.col("value"), F.col("negation")).alias("statement"), F.col("key").alias("object_1"), F.col("value").alias("object_2"), F.col("own").alias("correct_object_2"), correct.alias("correct"), "negation", F.lit(not fake).alias("real_object"))
 
 
+def zipf_frequencies(words: DataFrame, table: DataFrame, seed: int = 0, keep: float = 0.1, word: str = "word") -> DataFrame:
+    """words with frequency: that of table (word, frequency), which has each word once, case aside; of the words it lacks or has at 0, a part `keep` by hash counts as 1, the others as 0."""
+    known = table.select(F.lower(word).alias("__w"), F.col("frequency").alias("__f"))
+    found = words.join(known, F.lower(F.col(word)) == F.col("__w"), "left")
+    kept = (h(seed, F.lower(F.col(word))) < keep * 2.0**32).cast("double")
+    return found.withColumn("frequency", F.when(F.coalesce("__f", F.lit(0.0)) > 0, F.col("__f").cast("double")).otherwise(kept)).drop("__w", "__f")
+
+
+def decorated(names: DataFrame, patterns: list[str], seed: int = 0, part: float = 0.25, name: str = "name") -> DataFrame:
+    """names with a part of them, by hash, set into one of the patterns, whose {} stands for the name."""
+    u = h(seed, name)
+    pick = F.pmod(h(seed + 1, name), F.lit(len(patterns)))
+    shape = F.element_at(F.array(*[F.lit(p) for p in patterns]), (pick + 1).cast("int"))
+    return names.withColumn(name, F.when(u < part * 2.0**32, F.replace(shape, F.lit("{}"), F.col(name))).otherwise(F.col(name)))
+
+
+def subsample_of(df: DataFrame, objects: DataFrame, n: int, seed: int = 0, key: str = "row_id", column: str = "object_1") -> DataFrame:
+    """n rows drawn evenly of those whose object is one of objects."""
+    return subsample(df.join(objects.select(column).distinct(), column, "left_semi").select(*df.columns), n, seed, key)
+
+
 def subsample(df: DataFrame, n: int, seed: int = 0, key: str = "row_id") -> DataFrame:
     """n rows drawn evenly without replacement, all of them if there are no more."""
     return df.withColumn("__h", h(seed, key)).orderBy("__h", key).limit(n).drop("__h")

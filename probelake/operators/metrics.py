@@ -134,6 +134,15 @@ def average_precision(df: DataFrame, y: str, score: str, group: list[str] | None
     return sums.select(*group, F.when(F.coalesce("p", F.lit(0)) == 0, 0.0).otherwise(F.col("g") / F.col("p")).alias("ap"))
 
 
+def average_precision_or(df: DataFrame, y: str, score: str, accepted: str) -> DataFrame:
+    """(ap) of the accepted rows; where a score among them is null or NaN, that of scores of 0; where none is accepted, of scores of 0 of all rows; 0 where there is no label."""
+    bad = F.col(score).isNull() | F.isnan(score)
+    state = df.where(F.col(y).isNotNull()).agg(F.coalesce(F.bool_or((F.col(accepted) == 1) & bad), F.lit(False)).alias("bad"), F.coalesce(F.bool_or(F.col(accepted) == 1), F.lit(False)).alias("some"))
+    rows = df.crossJoin(F.broadcast(state)).where((F.col(accepted) == 1) | ~F.col("some"))
+    flat = rows.withColumn(score, F.when(F.col("bad") | ~F.col("some"), 0.0).otherwise(F.col(score)))
+    return average_precision(flat.select(y, score), y, score).select(F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
 def energy_distance(df: DataFrame, y: str, score: str, group: list[str] | None = None) -> DataFrame:
     """(group, energy) between the two classes' scores after scaling them to [0, 1]; a constant score counts as 0, and a missing class gives 1000."""
     group = group or []

@@ -65,6 +65,14 @@ class Prompt:
         return F.split_part(self.text(F.lit(BASELINE)), F.lit(BASELINE), F.lit(1))
 
 
+    def intro_chat(self) -> Column:
+        """The messages up to the one that holds the statement, which ends where it would stand."""
+        chat = self.chat(F.lit(BASELINE))
+        at = F.array_position(F.transform(chat, lambda m: m["content"].contains(F.lit(BASELINE))), F.lit(True)).cast("int")
+        cut = F.transform(chat, lambda m: F.struct(m["role"].alias("role"), F.split_part(m["content"], F.lit(BASELINE), F.lit(1)).alias("content")))
+        return F.slice(cut, 1, at)
+
+
 VARIANTS = {
     "default": Prompt(),
     "shuffled": Prompt(marks=("2", "6", "1", "5", "3", "4")),

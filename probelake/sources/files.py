@@ -115,6 +115,47 @@ def inferred(rows: DataFrame, infer, schema: str) -> DataFrame:
     return rows.mapInPandas(infer, schema)
 
 
+def columns_in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df's columns of order, in that order; names it lacks are left out."""
+    return df.select(*[F.col(f"`{c}`") for c in order if c in df.columns])
+
+
+def write_scores(df: DataFrame, path: str, model: str = "model") -> None:
+    """Scores (row_id, model, scores, target) of zero-shot runs, a folder a model; only the models of df are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(model).parquet(path)
+
+
+def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table at path; where there is none, an empty one of the schema is written first. A table of other columns or types raises an error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        spark.createDataFrame([], schema).write.parquet(path)
+    found = spark.read.parquet(path)
+    if [(f.name, f.dataType) for f in found.schema.fields] != [(f.name, f.dataType) for f in schema.fields]:
+        raise ValueError(f"the table at {path} has other columns")
+    return found
+
+
+def save_batch(scores: DataFrame, path: str, batch: int) -> None:
+    """A batch's scores as part of a run that can be resumed; a batch that is written again replaces its own rows."""
+    scores.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def load_batches(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """(scores so far, the next batch); (None, 0) where nothing is stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None, 0
+    done = spark.read.parquet(path)
+    return done, (done.agg(F.max("batch").alias("b")).first().b or 0) + 1
+
+
+def mapped(df: DataFrame, out: str, f, kind: str, *columns: str) -> DataFrame:
+    """df with out: a plain function of one value, or of a dict where several columns are named, applied in Arrow batches; the place for taggers and the like that no column function can express. Nulls are passed on."""
+    returns = F.pandas_udf(lambda s: s.map(f) if len(columns) == 1 else s.apply(lambda row: f(dict(row)), axis=1), kind)
+    return df.withColumn(out, returns(F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)))
+
+
 class NpySource(DataSource):
     """spark.read.format("npy"): matrices in .npy files, a row each: file, row, vec. Options: path (a file or a folder), rows (of a partition)."""
 
