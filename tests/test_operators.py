@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probelake.functions import vectors as V
-from probelake.functions.text import plain
+from probelake.functions.text import plain, plain_form
 from probelake.operators import bags, conformal, features, labels, meandiff, metrics, registry, splits, svm
 from probelake.operators.ranks import ranked, running_sum
 from probelake.operators.scaling import gram_matrix, vector_stats
@@ -128,6 +128,12 @@ def test_resamples_have_the_binomial_law(spark):
         assert abs(got.m - 70) < 1.2 and abs(got.s - math.sqrt(21)) < 0.7
 
 
+def test_plain_form_of_every_text(spark):
+    texts = ["Ab-1 c", "", "...", None, "Ünï ｆ１", "İx", "a\u0301B", "tab\tand\nline", "\x7f~^_", "ß", "x" * 100_000 + "é", "Y-" * 50_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", plain_form("t").alias("p")).collect()
+    assert {r.i: r.p for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
+
+
 def test_safe_keeps_good_values(spark):
     v = spark.createDataFrame([(0.7, 0.6, 0.8), (None, 0.1, 0.2), (0.5, float("nan"), 0.6)], "v double, l double, u double")
     assert [r[0] for r in v.select(metrics.safe(F.col("v"), F.col("l"), F.col("u"))).collect()] == [[0.7, 0.6, 0.8], list(metrics.FALLBACK), list(metrics.FALLBACK)]
