@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from probelake.catalogue.views import STMT, act, stmt
+from probelake.catalogue.views import PROBE, STMT, act, stmt
 from probelake.operators import meandiff as M
 from probelake.plans.probe import ProbeSpec, run
 from probelake.session import fresh, written
@@ -180,6 +180,13 @@ def stream_windows(spark, sf):
     return _once(spark, out, "windows", "complete").select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("SELECT event_id, event_type FROM events")
+def stream_deduplicated(spark, sf):
+    path, schema = _folder(spark, sf, "events", 1)
+    table(spark, sf, "events").coalesce(1).write.mode("append").parquet(path)  # every event comes twice
+    return _once(spark, S.deduplicated(S.read_stream(spark, path, schema)), "events", "append").select("event_id", "event_type")
+
+
 @query("SELECT trial_id, count(*) AS updates, max(progress) AS best FROM trial_log GROUP BY trial_id")
 def stream_trials(spark, sf):
     path, schema = _folder(spark, sf, "trial_log")
@@ -189,12 +196,15 @@ def stream_trials(spark, sf):
     return latest_by_key(states, ["trial_id"], ["updates"])
 
 
-@query()
+@query(
+    f"WITH {PROBE}, packed AS (SELECT layer, list(w ORDER BY dim) AS w, list(mu ORDER BY dim) AS mu, list(sd ORDER BY dim) AS sd FROM probe GROUP BY layer) "
+    "SELECT a.vec_id, a.layer, round(list_sum([(a.embeddings[i]::DOUBLE - p.mu[i]) / p.sd[i] * p.w[i] FOR i IN range(1, 65)]) + b.b, 6) AS score FROM activations a JOIN packed p ON p.layer = a.layer JOIN bias b ON b.layer = a.layer WHERE len(a.embeddings) = 64"
+)
 def stream_score(spark, sf):
     probes = written(M.fit(act(spark, sf).where("split = 'train'"), group=["layer"]), "probes")
     path, schema = _folder(spark, sf, "activations")
     v = S.read_stream(spark, path, schema).where(F.size("embeddings") == 64).select("vec_id", "layer", F.col("embeddings").cast("array<double>").alias("vec"))
-    return _once(spark, S.scored_stream(v, probes), "scores", "append").select("vec_id", "layer", "score")
+    return _once(spark, S.scored_stream(v, probes), "scores", "append").select("vec_id", "layer", F.round("score", 6).alias("score"))
 
 
 @query("SELECT trial_id, max(progress) AS progress FROM trial_log GROUP BY trial_id")

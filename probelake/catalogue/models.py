@@ -203,6 +203,19 @@ def neutralize(spark, sf):
     return T.neutralised(b, T.shared_directions(b, "bag", share=0.3))
 
 
+@query("SELECT count(*) AS n, true AS apart, true AS unit FROM embeddings")
+def neutralize_check(spark, sf):
+    """Whether no vector has a part along the shared directions left, and all are of length 1."""
+    b = written(bags(spark, sf).select("bag", "pos", "vec"), "bags")
+    d = T.shared_directions(b, "bag", share=0.3)
+    along = [F.abs(F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(x)) for x in row]), lambda a, c: a * c), F.lit(0.0), lambda s, x: s + x)) < 1e-9 for row in d[:8]]
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    apart = F.lit(True)
+    for a in along:
+        apart = apart & a
+    return T.neutralised(b, d).agg(F.count("*").alias("n"), F.bool_and(apart).alias("apart"), F.bool_and(F.abs(length - 1) < 1e-9).alias("unit"))
+
+
 # effects of interventions on option probabilities: zero-shot scores, and the same turned by one place
 
 _EFF = f"{STMT}, z AS (SELECT row_id, scores AS p, [scores[2], scores[3], scores[4], scores[1]] AS q FROM zero_shot_scores WHERE len(scores) = 4), ef AS (SELECT z.*, correct FROM z JOIN stmt USING (row_id) WHERE correct IS NOT NULL)"
@@ -264,6 +277,12 @@ def trial_upsert(spark, sf):
     return R.upserted(base, base.where("status = 0").withColumn("status", F.lit(-1)), "trial_id")
 
 
+@query("SELECT trial_id, true AS dated FROM trial_log WHERE trial_id IS NOT NULL GROUP BY trial_id")
+def trial_stamped(spark, sf):
+    trials = table(spark, sf, "trial_log").where("trial_id is not null").select("trial_id").distinct()
+    return R.stamped(trials).select("trial_id", (F.col("date").rlike("^\\d{4}-\\d{2}-\\d{2}$") & F.col("time").rlike("^\\d{2}:\\d{2}$")).alias("dated"))
+
+
 _METRIC = "m AS (SELECT l_returnflag AS g, l_linenumber AS layer, round(avg(l_discount), 6) AS metric FROM lineitem GROUP BY l_returnflag, l_linenumber)"
 
 

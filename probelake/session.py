@@ -41,12 +41,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, so that losing executors costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark).rstrip('/')}/probelake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

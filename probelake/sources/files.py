@@ -61,7 +61,7 @@ def assembled(frames: Sequence[DataFrame], flags: Sequence[str] = ("correct", "n
         for field in f.schema.fields:
             types.setdefault(field.name, field.dataType)
     fill = lambda t: F.lit(0.0).cast(t) if isinstance(t, T.NumericType | T.StringType) else F.lit(None).cast(t)
-    full = [f.select(*[F.col(c) if c in f.columns else fill(types[c]).alias(c) for c in sorted(types)]) for f in named]
+    full = [f.select(*[F.col(c) if c in f.columns else fill(types[c]).alias(c) for c in union_columns(named)]) for f in named]
     out = full[0]
     for f in full[1:]:
         out = out.unionByName(f)
@@ -157,7 +157,7 @@ def mapped(df: DataFrame, out: str, f, kind: str, *columns: str) -> DataFrame:
 
 
 class NpySource(DataSource):
-    """spark.read.format("npy"): matrices in .npy files, a row each: file, row, vec. Options: path (a file or a folder), rows (of a partition)."""
+    """spark.read.format("npy"): matrices in .npy files, a row each: file, row, vec. Options: path (a file or a folder on a mount that all executors share), rows (of a partition)."""
 
     @classmethod
     def name(cls) -> str:
