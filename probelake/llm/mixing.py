@@ -47,6 +47,16 @@ def token_counts(documents: DataFrame, weights: DataFrame, tokenizer: str = "byt
     return encode_corpus(named, "id", "text", tokenizer, folder, count_only=True).select("id.doc_id", "id.key", "n_tokens")
 
 
+def mix_checks(made: Mix, weights: DataFrame) -> DataFrame:
+    """(source, capped, once, filled): for each source whether no document is used more than max_repeats times, whether none is used twice in a pass, and whether what is placed is its target, or all that max_repeats passes give, to within its last document."""
+    per_doc = made.uses.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.countDistinct("pass").alias("passes"), F.max("n_tokens").alias("size"))
+    seen = per_doc.groupBy("source").agg(F.max("uses").alias("uses"), F.bool_and(F.col("uses") == F.col("passes")).alias("once"), F.max("size").alias("longest"))
+    rows = weights.select("source").join(made.report, "source", "left").join(seen, "source", "left").na.fill(0, ["uses", "longest", "placed_tokens", "max_repeats", "available_tokens"])
+    due = F.least("target_tokens", (F.col("max_repeats") * F.col("available_tokens")).cast("double"))
+    filled = (F.col("placed_tokens") >= due) & (F.col("placed_tokens") < due + F.greatest(F.col("longest"), F.lit(1)))
+    return rows.select("source", (F.col("uses") <= F.col("max_repeats")).alias("capped"), F.coalesce("once", F.lit(True)).alias("once"), F.coalesce(filled, F.lit(False)).alias("filled"))
+
+
 def mix(counts: DataFrame, weights: DataFrame, slot_tokens: int = 2048, seed: int = 17) -> Mix:
     """Combines documents to total_tokens tokens by target_share.
 

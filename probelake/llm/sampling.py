@@ -124,6 +124,17 @@ def match_shares(rows: DataFrame, targets: DataFrame, id_col: str = "id", seed:
     return Sample(kept, report)
 
 
+def sample_checks(sample: Sample, targets: DataFrame) -> DataFrame:
+    """(target_set, level_name, once, exact, whole): for each level whether no id is drawn twice, whether as many rows are taken as its quota and its rows allow, and whether taken and deficits of its set add up to the larger of sample_size and the minima that can be met."""
+    drawn = sample.rows.groupBy("target_set", "level_name").agg(F.count("*").alias("n"), F.countDistinct(*[c for c in sample.rows.columns if c not in ("target_set", "level_name")]).alias("ids"))
+    sizes = targets.groupBy("target_set").agg(F.max(F.coalesce("sample_size", F.lit(0))).alias("size"))
+    minima = targets.select("target_set", "level_name", F.coalesce("min_rows", F.lit(0)).alias("least"))
+    per = Window.partitionBy("target_set")
+    rows = sample.report.join(drawn, ["target_set", "level_name"], "left").join(sizes, "target_set").join(minima, ["target_set", "level_name"]).na.fill(0, ["n", "ids"])
+    whole = F.sum(F.col("taken") + F.col("deficit")).over(per) == F.greatest(F.col("size"), F.sum(F.least("least", "available")).over(per))
+    return rows.select("target_set", "level_name", (F.col("n") == F.col("ids")).alias("once"), ((F.col("taken") == F.col("n")) & (F.col("taken") == F.least("quota", "available"))).alias("exact"), whole.alias("whole"))
+
+
 def statement_sample(statements: DataFrame, targets: DataFrame) -> Sample:
     """The samples of statements that sample_targets asks for: by correct (true or false) and by object_1 (its plain form; null or empty belongs to no level), each row_id once."""
     once = statements.where("row_id is not null").groupBy("row_id").agg(F.min_by(F.struct("dataset", "correct", "object_1"), F.struct("ingested_at", "dataset", "object_1")).alias("r"))
