@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from probelake.catalogue.probing import _ALPHA, _C2, _FOUR, _MCC, _icp_sql
 from probelake.catalogue.views import PROBE, STMT, act, stmt
 from probelake.operators import meandiff as M
 from probelake.plans.probe import ProbeSpec, run
@@ -149,13 +150,40 @@ def vector_layout(spark, sf):
     return files.read_vectors(spark, path, [7]).select("vec_id", "layer")
 
 
-@query()
+_KL = "USING (k, layer)"
+_EMI = "n / t * ln(t * n / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(n + 1) - lgamma(a - n + 1) - lgamma(b - n + 1) - lgamma(t - a - b + n + 1))"
+_FIGURES = ("mcc", "recall", "ami", "ari", "map", "energy")
+#: All figures of a probe in SQL, k 0 for all test rows and 1 for those the conformal step accepts.
+_METRICS = (
+    f"{_icp_sql(_ALPHA['symmetric'][0])}, u AS (SELECT 0 AS k, layer, y, CAST(score > 0 AS INT) AS p, score FROM icp UNION ALL SELECT 1, layer, y, prediction, score FROM icp WHERE prediction <> -1), "
+    f"f AS (SELECT k, layer, count(*) AS n, {_FOUR} FROM u GROUP BY k, layer), "
+    f"rr AS (SELECT *, {_C2('tp')} + {_C2('tn')} + {_C2('fp')} + {_C2('fn')} AS i, {_C2('tp + fn')} + {_C2('tn + fp')} AS pa, {_C2('tp + fp')} + {_C2('tn + fn')} AS pb, {_C2('tp + tn + fp + fn')} AS ab FROM f), "
+    f"lab AS (SELECT k, layer, n, {_MCC} AS mcc, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN (pa + pb) / 2 - pa * pb / ab = 0 THEN 1.0 ELSE (i - pa * pb / ab) / ((pa + pb) / 2 - pa * pb / ab) END AS ari FROM rr), "
+    "ct AS (SELECT k, layer, y, p, count(*) AS n FROM u GROUP BY ALL), ma AS (SELECT k, layer, y, sum(n)::BIGINT AS a FROM ct GROUP BY ALL), mb AS (SELECT k, layer, p, sum(n)::BIGINT AS b FROM ct GROUP BY ALL), mt AS (SELECT k, layer, sum(n)::BIGINT AS t FROM ct GROUP BY ALL), "
+    f"mi AS (SELECT k, layer, sum(n / t * ln(t * n / (a * b))) AS v FROM ct JOIN ma USING (k, layer, y) JOIN mb USING (k, layer, p) JOIN mt {_KL} GROUP BY k, layer), "
+    f"ha AS (SELECT k, layer, -sum(a / t * ln(a / t)) AS v, count(*) AS c FROM ma JOIN mt {_KL} GROUP BY k, layer), hb AS (SELECT k, layer, -sum(b / t * ln(b / t)) AS v, count(*) AS c FROM mb JOIN mt {_KL} GROUP BY k, layer), "
+    f"gg AS (SELECT k, layer, a, b, t, unnest(range(greatest(1, a + b - t), least(a, b) + 1)) AS n FROM ma JOIN mb {_KL} JOIN mt {_KL}), em AS (SELECT k, layer, sum({_EMI}) AS v FROM gg GROUP BY k, layer), "
+    f"am AS (SELECT k, layer, CASE WHEN (ha.c = 1 AND hb.c = 1) OR abs((ha.v + hb.v) / 2 - em.v) < 1e-15 THEN 1.0 ELSE (mi.v - em.v) / ((ha.v + hb.v) / 2 - em.v) END AS ami FROM mi JOIN ha {_KL} JOIN hb {_KL} JOIN em {_KL}), "
+    "sc AS (SELECT k, layer, score, count(*) FILTER (y = 1) AS pos, count(*) AS n FROM u GROUP BY k, layer, score), sw AS (SELECT k, layer, pos, sum(pos) OVER o AS cp, sum(n) OVER o AS cn FROM sc WINDOW o AS (PARTITION BY k, layer ORDER BY score DESC)), "
+    "ap AS (SELECT k, layer, CASE WHEN sum(pos) = 0 THEN 0.0 ELSE sum(pos * cp / cn) / sum(pos) END AS map FROM sw GROUP BY k, layer), "
+    "sl AS (SELECT k, layer, y, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS s FROM u WINDOW w AS (PARTITION BY k, layer)), "
+    "sg AS (SELECT k, layer, s, count(*) FILTER (y = 1) AS c1, count(*) FILTER (y = 0) AS c0 FROM sl GROUP BY k, layer, s), sd AS (SELECT k, layer, lead(s) OVER o - s AS d, sum(c1) OVER o AS k1, sum(c0) OVER o AS k0 FROM sg WINDOW o AS (PARTITION BY k, layer ORDER BY s)), "
+    f"sn AS (SELECT k, layer, sum(c1) AS n1, sum(c0) AS n0 FROM sg GROUP BY k, layer), en AS (SELECT k, layer, CASE WHEN any_value(n1) = 0 OR any_value(n0) = 0 THEN 1000.0 ELSE sqrt(2 * coalesce(sum((k1 / n1 - k0 / n0) * (k1 / n1 - k0 / n0) * d), 0)) END AS energy FROM sd JOIN sn {_KL} GROUP BY k, layer), "
+    f"fig AS (SELECT * FROM lab JOIN am {_KL} JOIN ap {_KL} JOIN en {_KL}), cov AS (SELECT layer, avg(in_set) AS coverage, avg(CASE WHEN prediction <> -1 THEN 1.0 ELSE 0.0 END) AS acceptance_rate FROM icp GROUP BY layer)"
+)
+
+
+@query(
+    f"WITH {_METRICS} SELECT a.layer, a.n, c.n AS conformal_n, {', '.join(f'round(a.{x}, 6) AS {x}, round(c.{x}, 6) AS conformal_{x}' for x in _FIGURES)}, round(coverage, 6) AS coverage, round(acceptance_rate, 6) AS acceptance_rate, "
+    f"{', '.join(f'round(c.{x} * c.n / a.n, 6) AS conformal_w{x}' for x in _FIGURES if x != 'recall')}, round(coalesce(c.n, 0) / a.n, 6) AS a_rate FROM fig a LEFT JOIN fig c ON c.layer = a.layer AND c.k = 1 JOIN cov ON cov.layer = a.layer WHERE a.k = 0"
+)
 def probe_metrics(spark, sf):
     s = stmt(spark, sf, ["correct", "real_object", "split"])
     from probelake.catalogue.views import vectors
 
     rows = vectors(spark, sf).join(s, "row_id").select(F.col("vec_id").alias("id"), "layer", "vec", "split", "correct", "real_object")
-    return run(rows, ProbeSpec(task=3)).metrics
+    out = run(rows, ProbeSpec(task=3)).metrics
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 # streams, run over what is there
