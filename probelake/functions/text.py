@@ -30,5 +30,5 @@ def _plain_form(text: pa.Array) -> pa.Array:
 def plain_form(col: Column | str) -> Column:
     """The plain form as a column; null stays null, a text without letters or digits gives an empty string. Texts of ASCII alone never leave the JVM; only the others travel to Python."""
     x = F.col(col) if isinstance(col, str) else col
-    other = x.rlike("[^\\x00-\\x7F]")
-    return F.when(~other, F.regexp_replace(F.lower(x), "[^a-z0-9]", "")).otherwise(_plain_form(F.when(other, x)))
+    other = F.octet_length(x) != F.char_length(x)
+    return F.when(~other, F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")).otherwise(_plain_form(F.when(other, x)))
