@@ -129,11 +129,11 @@ def json_readable(spark, sf):
     return table(spark, sf, "trial_log").select("trial_id", F.coalesce(F.try_parse_json("parameters").isNotNull() & F.col("parameters").isNotNull(), F.lit(False)).alias("readable")).distinct()
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(spark, sf):
     path = fresh(spark, "nation-csv")
     files.write_csv(table(spark, sf, "nation"), path)
-    return files.read_csv(spark, path, table(spark, sf, "nation").schema).where("n_regionkey = 1").select("n_nationkey", "n_name")
+    return files.read_csv(spark, path, table(spark, sf, "nation").schema).select("n_nationkey", "n_name", "n_regionkey")
 
 
 @query("SELECT r_regionkey, r_name FROM region")
@@ -158,7 +158,7 @@ _METRICS = (
     f"{_icp_sql(_ALPHA['symmetric'][0])}, u AS (SELECT 0 AS k, layer, y, CAST(score > 0 AS INT) AS p, score FROM icp UNION ALL SELECT 1, layer, y, prediction, score FROM icp WHERE prediction <> -1), "
     f"f AS (SELECT k, layer, count(*) AS n, {_FOUR} FROM u GROUP BY k, layer), "
     f"rr AS (SELECT *, {_C2('tp')} + {_C2('tn')} + {_C2('fp')} + {_C2('fn')} AS i, {_C2('tp + fn')} + {_C2('tn + fp')} AS pa, {_C2('tp + fp')} + {_C2('tn + fn')} AS pb, {_C2('tp + tn + fp + fn')} AS ab FROM f), "
-    f"lab AS (SELECT k, layer, n, {_MCC} AS mcc, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN (pa + pb) / 2 - pa * pb / ab = 0 THEN 1.0 ELSE (i - pa * pb / ab) / ((pa + pb) / 2 - pa * pb / ab) END AS ari FROM rr), "
+    f"lab AS (SELECT k, layer, n, {_MCC} AS mcc, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN ab = 0 OR (pa + pb) / 2 - pa * pb / ab = 0 THEN 1.0 ELSE (i - pa * pb / ab) / ((pa + pb) / 2 - pa * pb / ab) END AS ari FROM rr), "
     "ct AS (SELECT k, layer, y, p, count(*) AS n FROM u GROUP BY ALL), ma AS (SELECT k, layer, y, sum(n)::BIGINT AS a FROM ct GROUP BY ALL), mb AS (SELECT k, layer, p, sum(n)::BIGINT AS b FROM ct GROUP BY ALL), mt AS (SELECT k, layer, sum(n)::BIGINT AS t FROM ct GROUP BY ALL), "
     f"mi AS (SELECT k, layer, sum(n / t * ln(t * n / (a * b))) AS v FROM ct JOIN ma USING (k, layer, y) JOIN mb USING (k, layer, p) JOIN mt {_KL} GROUP BY k, layer), "
     f"ha AS (SELECT k, layer, -sum(a / t * ln(a / t)) AS v, count(*) AS c FROM ma JOIN mt {_KL} GROUP BY k, layer), hb AS (SELECT k, layer, -sum(b / t * ln(b / t)) AS v, count(*) AS c FROM mb JOIN mt {_KL} GROUP BY k, layer), "

@@ -413,7 +413,7 @@ _ENDS = "SELECT layer, round(max(v) FILTER (b < 0), 6) AS value, round(quantile_
 _C2 = lambda x: f"({x}) * (({x}) - 1) / 2"
 _ARI = (
     f"r AS (SELECT layer, b, {_C2('tp')} + {_C2('tn')} + {_C2('fp')} + {_C2('fn')} AS i, {_C2('tp + fn')} + {_C2('tn + fp')} AS pa, {_C2('tp + fp')} + {_C2('tn + fn')} AS pb, {_C2('tp + tn + fp + fn')} AS a FROM f), "
-    "m AS (SELECT layer, b, CASE WHEN (pa + pb) / 2 - pa * pb / a = 0 THEN 1.0 ELSE (i - pa * pb / a) / ((pa + pb) / 2 - pa * pb / a) END AS v FROM r)"
+    "m AS (SELECT layer, b, CASE WHEN a = 0 OR (pa + pb) / 2 - pa * pb / a = 0 THEN 1.0 ELSE (i - pa * pb / a) / ((pa + pb) / 2 - pa * pb / a) END AS v FROM r)"
 )
 _BOOT = {
     "mcc": f"m AS (SELECT layer, b, {_MCC} AS v FROM f)",
@@ -441,7 +441,13 @@ def bootstrap_ci_ami(spark, sf):
 
 @query()
 def bootstrap_ci_ap(spark, sf):
-    return E.bootstrap_average_precision(_tested(spark, sf).where("layer = 15"), "y", "score", replicates=200)
+    rows = _tested(spark, sf)
+    layers = sorted(r.layer for r in rows.select("layer").distinct().collect())  # tens
+    parts = [E.bootstrap_average_precision(rows.where(F.col("layer") == k), "y", "score").select(F.lit(k).alias("layer"), "value", "lower", "upper") for k in layers]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query()
