@@ -10,7 +10,7 @@ from probelake.catalogue.probing import _ALPHA, _C2, _FOUR, _MCC, _icp_sql
 from probelake.catalogue.views import PROBE, STMT, act, stmt
 from probelake.operators import meandiff as M
 from probelake.plans.probe import ProbeSpec, run
-from probelake.session import fresh, written
+from probelake.session import fresh, spread, written
 from probelake.sources import files
 from probelake.sources.tables import latest, table
 from probelake.streaming import flows as S
@@ -189,11 +189,15 @@ def probe_metrics(spark, sf):
 # streams, run over what is there
 
 
+#: Files of a table that a stream takes at once, two tables of them at most in one trigger.
+_FILES = 50
+
+
 def _folder(spark, sf, name, partitions=4):
-    """The table as files of a stream's folder."""
+    """The table as files of a stream's folder; partitions None: as many as its scan and the session's cores have, _FILES at most."""
     path = fresh(spark, f"stream-{name}")
     df = table(spark, sf, name)
-    df.repartition(partitions).write.mode("overwrite").parquet(path)
+    (df.repartition(partitions) if partitions else spread(df).coalesce(_FILES)).write.mode("overwrite").parquet(path)
     return path, df.schema
 
 
@@ -230,7 +234,7 @@ def stream_trials(spark, sf):
 )
 def stream_score(spark, sf):
     probes = written(M.fit(act(spark, sf).where("split = 'train'"), group=["layer"]), "probes")
-    path, schema = _folder(spark, sf, "activations")
+    path, schema = _folder(spark, sf, "activations", None)
     v = S.read_stream(spark, path, schema).where(F.size("embeddings") == 64).select("vec_id", "layer", F.col("embeddings").cast("array<double>").alias("vec"))
     return _once(spark, S.scored_stream(v, probes), "scores", "append").select("vec_id", "layer", F.round("score", 6).alias("score"))
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from probelake.operators.meandiff import decision
 from probelake.operators.registry import latest_by_key
+from probelake.session import fresh
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -68,7 +69,16 @@ def deduplicated(events: DataFrame, key: str = "event_id", time: str = "ts", lat
 
 
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns the result as a table in memory."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns the result as a table in the shared folder, of any size: the last batch of mode complete, all batches of the others. A batch that is written again replaces its own rows."""
+    path, batches = fresh(df.sparkSession, "results"), []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        batches.append(batch_id)
+
+    q = df.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not batches:
+        return df.sparkSession.createDataFrame([], df.schema)
+    kept = [max(batches)] if mode == "complete" else sorted(set(batches))
+    return df.sparkSession.read.schema(df.schema).parquet(*[f"{path}/{i}" for i in kept])
