@@ -214,9 +214,10 @@ def stream_windows(spark, sf):
 
 @query("SELECT event_id, event_type FROM events")
 def stream_deduplicated(spark, sf):
-    path, schema = _folder(spark, sf, "events", 1)
-    table(spark, sf, "events").coalesce(1).write.mode("append").parquet(path)  # every event comes twice
-    return _once(spark, S.deduplicated(S.read_stream(spark, path, schema)), "events", "append").select("event_id", "event_type")
+    path, schema = _folder(spark, sf, "events", None)
+    spread(table(spark, sf, "events")).coalesce(_FILES).write.mode("append").parquet(path)  # every event comes twice
+    events = S.read_stream(spark, path, schema).select("event_id", "event_type", "ts")
+    return _once(spark, S.deduplicated(events), "events", "append").select("event_id", "event_type")
 
 
 @query("SELECT trial_id, count(*) AS updates, max(progress) AS best FROM trial_log GROUP BY trial_id")

@@ -40,3 +40,18 @@ def test_a_stream_without_files_gives_an_empty_table(spark, numbers):
     spark.range(0).select(F.col("id"), F.current_timestamp().alias("ts")).limit(0).write.parquet(path)
     out = _ran(spark, S.read_stream(spark, path, numbers[1]).where("id < 0"), "append")
     assert out.columns == ["id", "ts"] and out.count() == 0
+
+
+def test_repeated_events_are_read_by_all_cores_and_come_once(spark, sf, monkeypatch):
+    from pathlib import Path
+
+    from probelake.catalogue import flows
+
+    paths = []
+    read = S.read_stream
+    monkeypatch.setattr(S, "read_stream", lambda spark, path, schema, *n: (paths.append(path), read(spark, path, schema, *n))[1])
+    got = flows.QUERIES["stream_deduplicated"](spark, sf)
+    files = list(Path(paths[0].removeprefix("file:")).glob("*.parquet"))
+    assert 2 * spark.sparkContext.defaultParallelism <= len(files) <= 2 * flows._FILES  # one trigger takes 100
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert got.count() == got.select("event_id").distinct().count() == n and spark.read.parquet(paths[0]).count() == 2 * n
