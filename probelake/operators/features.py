@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelake.functions.hashing import h
+from probelake.operators import forest
 from probelake.operators.ranks import by_range, following, ranked, running_sum
 from probelake.operators.scaling import as_arrays, gram_matrix, vector_stats
 from probelake.session import is_small, written
@@ -191,13 +192,20 @@ def mutual_information(df: DataFrame, vec: str = "vec", y: str = "y", k: int = 2
 
 
 def forest_importances(df: DataFrame, vec: str = "vec", y: str = "y", trees: int = 500, depth: int = 10, seed: int = 0) -> DataFrame:
-    """(dim, importance) by a random forest."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.where(F.col(y).isNotNull()).select(array_to_vector(F.col(vec)).alias("features"), F.col(y).cast("double").alias("label"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
-    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())], "dim int, importance double")
+    """(dim, importance) by a random forest over all rows; rows of a null target do not count. See forest; rows that do not fit a worker in bins go to Spark's own forest."""
+    rows = written(df.where(F.col(y).isNotNull()).select(F.col(vec).alias("vec"), F.col(y).cast("double").alias("y")), "forest")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims"), F.min(F.size("vec")).alias("least"), F.min("y").alias("low"), F.max("y").alias("high"), F.count_if(F.col("y") != F.floor("y")).alias("odd")).first()
+    if not size.n or size.low < 0 or size.odd or size.least != size.dims:
+        raise ValueError("a forest takes rows of equal lengths with classes 0, 1, ...")
+    classes = int(size.high) + 1
+    if forest.BINS * classes <= 65_536 and size.n * size.dims * (1 if forest.BINS * classes <= 256 else 2) <= forest.MOST_BYTES:
+        values = forest.importances(rows, size.dims, classes, trees, depth, seed)
+    else:
+        from pyspark.ml.classification import RandomForestClassifier
+        from pyspark.ml.functions import array_to_vector
+
+        values = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows.select(array_to_vector("vec").alias("features"), F.col("y").alias("label"))).featureImportances.toArray()
+    return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "dim int, importance double")
 
 
 def correlations(df: DataFrame, vec: str = "vec") -> np.ndarray:
